@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from finloom.llm import quality
+from finloom.llm import chat, quality, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_chat_formatting": chat.query,
+    "op3_url_filters": urls.query,
 }
 
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
+    "op2_chat_formatting": chat.ORACLE,
+    "op3_url_filters": urls.ORACLE,
 }
