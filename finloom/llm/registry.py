@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from finloom.llm import chat, quality, urls
+from finloom.llm import chat, neardup, quality, secrets, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_chat_formatting": chat.query,
     "op3_url_filters": urls.query,
+    "op4_minhash_near_dedup": neardup.query,
+    "op6_secret_scans": secrets.query,
 }
 
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
     "op2_chat_formatting": chat.ORACLE,
     "op3_url_filters": urls.ORACLE,
+    "op4_minhash_near_dedup": neardup.ORACLE,
 }
