@@ -86,7 +86,7 @@ def _covered(hashes: Column) -> Column:
 
 
 def metrics(docs: DataFrame) -> DataFrame:
-    """doc_id with the base counts and the ratios that the rules use."""
+    """The whole row as struct ``doc``, doc_id, the base counts and the ratios that the rules use."""
     text = F.coalesce(F.col("text"), F.lit(""))
     without = lambda c, chars: F.length(F.translate(c, chars, ""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, WS, "") != "")
@@ -105,7 +105,7 @@ def metrics(docs: DataFrame) -> DataFrame:
         )
 
     got = docs.select(
-        "doc_id",
+        F.struct("*").alias("doc"),
         let(words(text), of_words).alias("w"),
         let(lines, of_lines).alias("l"),
         without(text, WS).cast("long").alias("word_chars"),
@@ -113,7 +113,8 @@ def metrics(docs: DataFrame) -> DataFrame:
     )
     n = F.greatest(F.col("w.n_words"), F.lit(1))
     return got.select(
-        "doc_id",
+        "doc",
+        "doc.doc_id",
         "w.n_words",
         "word_chars",
         "n_symbols",
@@ -148,6 +149,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 20,
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
 
 
+def good_documents(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, as they are, that the rules keep."""
+    return judge(docs, **how).where("kept").select("doc.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from finloom.llm.common import read
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from finloom.llm import chat, neardup, quality, secrets, urls
+from finloom.llm import chat, decontaminate, neardup, packing, quality, secrets, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_url_filters": urls.query,
     "op4_minhash_near_dedup": neardup.query,
     "op6_secret_scans": secrets.query,
+    "op7_best_fit_packing": packing.query,
+    "op10_benchmark_decontamination": decontaminate.query,
 }
 
 ORACLES = {
@@ -17,4 +19,5 @@ ORACLES = {
     "op2_chat_formatting": chat.ORACLE,
     "op3_url_filters": urls.ORACLE,
     "op4_minhash_near_dedup": neardup.ORACLE,
+    "op10_benchmark_decontamination": decontaminate.ORACLE,
 }
