@@ -1,10 +1,69 @@
-"""The corpus pipeline: stages over ``documents``, each written and reread."""
+"""The corpus pipeline: from ``documents`` to packed bins of clean, distinct text.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet to the shared folder and reread as the next stage's docs.  All but the last
+return the columns of ``documents``.
+
+Documents with a null doc_id take part in every stage: they have no duplicates and no
+benchmark items, so that only the quality rules can remove them.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from finloom.llm import decontaminate, neardup, packing, quality, secrets
+from finloom.llm.common import Staging, read
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents that break a rule go."""
+    return quality.good_documents(docs.select(*COLUMNS))
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4, five words and 80 %: the least doc_id of every group stays."""
+    copies = neardup.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
+    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents that hold a benchmark item go."""
+    leaks = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: every secret is replaced in the text; n_chars follows."""
+    found = secrets.scan(docs.select(*COLUMNS), *COLUMNS)
+    masked = found.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
+    return masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: what is left, in bins."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", keep_good),
+    ("near_dedup", keep_distinct),
+    ("decontamination", drop_leaks),
+    ("secret_scans", mask_secrets),
+    ("packing", pack_bins),
+]
+
+#: MinHash and best-fit packing have no SQL form; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    tables = Staging(spark, "pipeline")
+    for name, stage in STAGES:
+        before, docs = docs, tables.put(stage(spark, docs, sf_dir), name)
+        tables.drop(before)
+    return docs
