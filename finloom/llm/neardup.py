@@ -5,8 +5,10 @@
 2. Documents with equal sets form a class, which its least doc_id represents.
 3. Representatives that share a band key are candidates.  First every one is compared
    with the least of its bucket only; verified links give components.  Buckets that
-   still hold several components are then compared in full, in blocks of bounded size,
-   but for pairs that are in one component already: those can't change the result.
+   still hold several components are then compared in full, in cells of two blocks of
+   bounded size: by their minima first, then what is alike by whole sets.  Pairs that
+   are in one component already are passed over, as they can't change the result; a
+   cell gives only the links that join its components, never its pairs.
 4. Verified links of both passes give the components; classes give them to documents.
 
 Shingles are 64-bit hashes.  A pair at the threshold misses all bands with a chance
@@ -123,54 +125,112 @@ def verifier(spec: Spec):
     return verify
 
 
+def runs(batches, keys: tuple[str, ...], columns):
+    """Groups of equal ``keys`` in sorted Arrow batches: (key tuple, list of arrays from ``columns(batch)``)."""
+    import numpy as np
+
+    cell, held = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys])
+        cols = columns(batch)
+        cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            now, part = tuple(at[:, lo]), [c[lo:hi] for c in cols]
+            if now == cell:
+                held = [np.concatenate(x) for x in zip(held, part, strict=True)]
+            else:
+                if held is not None:
+                    yield cell, held
+                cell, held = now, part
+    if held is not None:
+        yield cell, held
+
+
+CELL = ("key", "ci", "cj")
+
+
 def comparer(spec: Spec):
-    """Function on Arrow batches of a partition sorted by cell: pairs of different components whose minima are alike."""
+    """Function on Arrow batches sorted by cell: members that have an alike partner of another component.
+
+    A pair counts only in the bucket of the first band that it shares, so that no
+    pair is looked at twice; at most one row per member of the cell comes out.
+    """
 
     def compare(batches):
         import numpy as np
         import pyarrow as pa
 
-        def pairs(rows):
-            ids, comps, sizes, side, sig = rows
-            order = np.argsort(ids, kind="stable")
-            ids, comps, sizes, side, sig = (x[order] for x in (ids, comps, sizes, side, sig))
+        def columns(batch):
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, spec.minima)
+            bands = batch.column("bands").flatten().to_numpy().reshape(-1, spec.bands)
+            return [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "n", "side")] + [sig, bands]
+
+        for (key, ci, cj), (ids, comps, sizes, side, sig, bands) in runs(batches, CELL, columns):
+            flagged = np.zeros(len(ids), bool)
             for i in range(len(ids) - 1):
                 ok = (comps[i + 1 :] != comps[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 2))
                 ok &= 100 * np.minimum(sizes[i + 1 :], sizes[i]) >= spec.percent * np.maximum(sizes[i + 1 :], sizes[i])
                 j = np.flatnonzero(ok) + i + 1
                 if len(j):
                     j = j[(sig[j] == sig[i]).sum(axis=1) >= spec.alike]
-                    yield ids[i], ids[j]
+                if len(j):
+                    j = j[bands[i][(bands[j] == bands[i]).argmax(axis=1)] == key]
+                if len(j):
+                    flagged[i] = flagged[j] = True
+            if flagged.any():
+                n = int(flagged.sum())
+                yield pa.record_batch(
+                    [pa.array([key] * n, pa.int64()), pa.array([ci] * n, pa.int32()), pa.array([cj] * n, pa.int32()),
+                     pa.array(ids[flagged]), pa.array(comps[flagged])],
+                    names=[*CELL, "doc_id", "component"],
+                )
 
-        def emit(rows):
-            a, b = [], []
-            for x, ys in pairs(rows):
-                a.append(np.full(len(ys), x))
-                b.append(ys)
-            if a:
-                yield pa.record_batch([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+    return compare
 
-        held, cell = None, None
-        for batch in batches:
-            if not batch.num_rows:
+
+def linker(spec: Spec):
+    """Function on Arrow batches sorted by cell, with texts: links by whole sets that join components of the cell."""
+
+    def link(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from finloom.llm import hashing as H
+
+        def columns(batch):
+            sets = np.empty(batch.num_rows, object)
+            for i, t in enumerate(H.texts(batch.column("text"))):
+                sets[i] = H.shingles(t, spec.k)
+            return [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component")] + [sets]
+
+        for _, group in runs(batches, CELL, columns):
+            sizes = np.array([len(s) for s in group[2]])
+            (ids, comps, sets), sizes = (c[sizes > 0] for c in group), sizes[sizes > 0]
+            if len(ids) < 2:
                 continue
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "ci", "cj")])
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, spec.minima)
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "n", "side")] + [sig]
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                now = tuple(keys[:, lo])
-                part = [c[lo:hi] for c in cols]
-                if now == cell:
-                    held = [np.concatenate(x) for x in zip(held, part, strict=True)]
-                else:
-                    if held is not None:
-                        yield from emit(held)
-                    held, cell = part, now
-        if held is not None:
-            yield from emit(held)
+            vocabulary, which = np.unique(np.concatenate(list(sets)), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            comps, a, b = comps.copy(), [], []
+            mark = np.zeros(len(vocabulary), np.int32)
+            for i in range(len(ids) - 1):
+                if (comps[i + 1 :] == comps[i]).all():
+                    continue
+                own = which[starts[i] : starts[i] + sizes[i]]
+                mark[own] = 1
+                both = np.add.reduceat(mark[which], starts)
+                mark[own] = 0
+                linked = 100 * both >= spec.percent * (sizes + sizes[i] - both)
+                for j in np.flatnonzero(linked & (comps != comps[i])):
+                    if comps[j] != comps[i]:
+                        a.append(ids[i])
+                        b.append(ids[j])
+                        comps[comps == comps[j]] = comps[i]
+            if a:
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return compare
+    return link
 
 
 def verified(pairs: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
@@ -219,20 +279,21 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     m = F.ceil(F.col("size") / F.lit(spec.block)).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), m).cast("int")
     cells = (
-        left.join(reps.select("doc_id", "n", "sig"), "doc_id")
+        left.join(reps.select("doc_id", "n", "sig", "bands"), "doc_id")
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), m - 1)))
         .select(
-            "key", F.least("mine", "other").alias("ci"), F.greatest("mine", "other").alias("cj"), "doc_id", "component", "n", "sig",
+            "key", F.least("mine", "other").alias("ci"), F.greatest("mine", "other").alias("cj"), "doc_id", "component", "n", "sig", "bands",
             F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
         )
     )
-    close = (
-        cells.repartition("key", "ci", "cj")
-        .sortWithinPartitions("key", "ci", "cj")
-        .mapInArrow(comparer(spec), "a long, b long")
+    in_cells = lambda df: df.repartition(*CELL).sortWithinPartitions(*CELL)
+    alike = tables.put(
+        in_cells(cells).mapInArrow(comparer(spec), "key long, ci int, cj int, doc_id long, component long"), "alike"
     )
-    more = tables.put(verified(close, docs, spec), "more")
+    texts = docs.where("doc_id IS NOT NULL")
+    more = tables.put(in_cells(alike.join(texts, "doc_id")).mapInArrow(linker(spec), "a long, b long").distinct(), "more")
+    tables.drop(alike)
     tables.drop(shared, owned, mixed)
     # doc_ids of one class that are not its least, where a doc_id has several texts
     again = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
