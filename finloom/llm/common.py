@@ -99,3 +99,28 @@ def prefix_sums(lengths: Column, block: int = 256) -> Column:
         return let(blocks, inner)
 
     return let(lengths, body)
+
+
+def cut(text: Column, spans: Column, mask: str) -> Column:
+    """The text with every span of a sorted array of struct(start, end) replaced by ``mask``.
+
+    Overlapping spans share one mask.  Spans that lie apart take one step each; only
+    where some overlap, each looks at all before it.
+    """
+
+    def body(ss: Column) -> Column:
+        ends = F.transform(ss, lambda s: s["end"])
+        neighbour = F.transform(ss, lambda s, i: F.coalesce(F.get(ss, i - 1)["end"], F.lit(0)))
+        furthest = F.transform(ss, lambda s, i: F.coalesce(F.array_max(F.slice(ends, 1, i)), F.lit(0)))
+        apart = ~F.exists(F.zip_with(ss, neighbour, lambda s, b: s["start"] < b), lambda x: x)
+
+        def joined(before: Column) -> Column:
+            piece = lambda s, i: F.when(s["start"] < F.get(before, i), "").otherwise(
+                F.concat(F.substr(text, (F.get(before, i) + 1).cast("int"), (s["start"] - F.get(before, i)).cast("int")), F.lit(mask))
+            )
+            rest = F.substr(text, (F.array_max(ends) + 1).cast("int"))
+            return F.concat(F.array_join(F.transform(ss, piece), ""), rest)
+
+        return let(F.when(apart, neighbour).otherwise(furthest), joined)
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(spans, body))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from finloom.llm import chat, decontaminate, neardup, packing, quality, secrets, urls
+from finloom.llm import chat, classifier, decontaminate, neardup, packing, quality, secrets, substrings, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_chat_formatting": chat.query,
     "op3_url_filters": urls.query,
     "op4_minhash_near_dedup": neardup.query,
+    "op5_substring_dedup": substrings.query,
     "op6_secret_scans": secrets.query,
     "op7_best_fit_packing": packing.query,
+    "op8_quality_classifier": classifier.query,
+    "op9_toxicity": toxicity.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 
+#: Not expressible in SQL: 5 (rolling hash), 6 (test battery), 7 (greedy packing), 8 and 9 (fitted models).
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
     "op2_chat_formatting": chat.ORACLE,

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finloom.llm.common import let, prefix_sums, read
+from finloom.llm.common import cut, let, prefix_sums, read
 
 
 def _either(word: str) -> str:
@@ -196,20 +196,7 @@ def as_text(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """The text with every span replaced; overlapping spans share one mask."""
-
-    def body(ss: Column) -> Column:
-        reach = lambda i: F.array_max(F.transform(F.slice(ss, 1, i), lambda s: s["end"]))
-        cuts = F.transform(ss, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(reach(i), F.lit(0)).alias("before")))
-        parts = lambda cs: F.transform(
-            cs,
-            lambda c: F.when(c["start"] < c["before"], "").otherwise(
-                F.concat(F.substr(text, (c["before"] + 1).cast("int"), (c["start"] - c["before"]).cast("int")), F.lit(mask))
-            ),
-        )
-        rest = F.substr(text, (F.array_max(F.transform(ss, lambda s: s["end"])) + 1).cast("int"))
-        return F.concat(F.array_join(let(cuts, parts), ""), rest)
-
-    return F.when(F.size(spans) == 0, text).otherwise(let(spans, body))
+    return cut(text, spans, mask)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

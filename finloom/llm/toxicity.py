@@ -8,8 +8,8 @@ of how often they are passed, are calibrated on training rows that the dictionar
 haven't seen.
 
 The toxic dictionary's text is what sets the toxic training rows apart: the words
-whose distinct contexts (word before, word after) are too many among them by
-``z`` standard deviations.  Contexts count once, so copies of a document don't.
+whose distinct contexts (word before, word after), or those of all words with the
+same start, are too many among them: RATIO times those expected, and ``z`` standard deviations.  Contexts count once, so copies of a document don't.
 
 Fitting is bounded: about ``per_class`` rows of each class, of ``max_chars`` each.
 Scoring reads every whole text in one pass without shuffle.
@@ -34,7 +34,8 @@ from finloom.llm import fitting
 from finloom.llm.common import read
 
 WINDOW, STRIDE, DICTIONARY, SHARED = 48, 24, 12288, 16384
-PER_CLASS, MAX_CHARS, Z = 2000, 65536, 4.5
+PER_CLASS, MAX_CHARS, Z = 2000, 65536, 4.0
+STARTS, RATIO = (5, 6), 4
 HELD_OUT, THRESHOLD = 5, 0.5
 
 
@@ -79,12 +80,17 @@ def _lengths(content: bytes):
 
 
 def _contexts(texts) -> tuple[Counter, int]:
-    """Distinct contexts by word, and of all words."""
+    """Distinct contexts by word and by the starts of words, and of all words."""
     seen = set()
     for t in texts:
         w = [b"", *t.lower().split(), b""]
         seen.update(zip(w, w[1:], w[2:], strict=False))
-    return Counter(x[1] for x in seen), max(1, len(seen))
+    return Counter(f for x in seen for f in _forms(x[1])), max(1, len(seen))
+
+
+def _forms(word: bytes) -> list[bytes]:
+    """The word and its starts of five bytes or more; starts end in an asterisk."""
+    return [word, *(word[:k] + b"*" for k in STARTS if k < len(word))]
 
 
 def _content(words, size: int) -> bytes:
@@ -109,9 +115,10 @@ def fit(texts: list[bytes], y: np.ndarray, z: float = Z) -> Model:
 
     def excess(w: bytes) -> float:
         expected = p[w] * nt / np_
-        return (t[w] - expected) / math.sqrt(t[w] + expected)
+        return (t[w] - expected) / math.sqrt(t[w] + expected) if t[w] > RATIO * expected else 0.0
 
-    ranked = sorted(((excess(w), w) for w in t if len(w) > 2), key=lambda x: (-x[0], x[1]))
+    found = {w for x in toxic[:cut_t] for w in x.lower().split() if len(w) > 2}
+    ranked = sorted(((max(map(excess, _forms(w))), w) for w in found), key=lambda x: (-x[0], x[1]))
     strong = [w for s, w in ranked if s >= z] or [w for s, w in ranked[:32] if s > 0]
     usual = [w for w, _ in sorted(p.items(), key=lambda x: (-x[1], x[0])) if len(w) > 2]
     shared = b" ".join(x[:400].lower() for x in plain[:64])[:SHARED]
