@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from finloom.plans import balances
+
+AREAS = (balances,)
+QUERIES = {name: query for area in AREAS for name, query in area.QUERIES.items()}
+ORACLES = {name: sql for area in AREAS for name, sql in area.ORACLES.items()}
