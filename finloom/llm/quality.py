@@ -85,9 +85,9 @@ def _covered(hashes: Column) -> Column:
     return let(hashes, body)
 
 
-def metrics(docs: DataFrame) -> DataFrame:
-    """The whole row as struct ``doc``, doc_id, the base counts and the ratios that the rules use."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def measured(text: Column) -> Column:
+    """struct of the base counts and of the ratios that the rules use, each part evaluated once."""
+    text = F.coalesce(text, F.lit(""))
     without = lambda c, chars: F.length(F.translate(c, chars, ""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, WS, "") != "")
 
@@ -104,54 +104,60 @@ def metrics(docs: DataFrame) -> DataFrame:
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         )
 
-    got = docs.select(
-        F.struct("*").alias("doc"),
+    counts = F.struct(
         let(words(text), of_words).alias("w"),
         let(lines, of_lines).alias("l"),
         without(text, WS).cast("long").alias("word_chars"),
         (F.length(text) - without(text, SYMBOLS)).cast("long").alias("n_symbols"),
     )
-    n = F.greatest(F.col("w.n_words"), F.lit(1))
-    return got.select(
-        "doc",
-        "doc.doc_id",
-        "w.n_words",
-        "word_chars",
-        "n_symbols",
-        "l.n_dup_lines",
-        "w.n_repeat_words",
-        "w.n_stop_words",
-        "l.n_lines",
-        (F.col("word_chars") / n).alias("mean_word_chars"),
-        (F.col("n_symbols") / n).alias("symbol_ratio"),
-        (F.col("w.n_stop_words") / n).alias("stop_ratio"),
-        (F.col("l.n_dup_lines") / F.greatest(F.col("l.n_lines"), F.lit(1))).alias("dup_line_ratio"),
-    )
 
+    def ratios(c: Column) -> Column:
+        n = F.greatest(c["w"]["n_words"], F.lit(1))
+        return F.struct(
+            c["w"]["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"),
+            c["l"]["n_dup_lines"].alias("n_dup_lines"), c["w"]["n_repeat_words"].alias("n_repeat_words"),
+            c["w"]["n_stop_words"].alias("n_stop_words"), c["l"]["n_lines"].alias("n_lines"),
+            (c["word_chars"] / n).alias("mean_word_chars"), (c["n_symbols"] / n).alias("symbol_ratio"),
+            (c["w"]["n_stop_words"] / n).alias("stop_ratio"),
+            (c["l"]["n_dup_lines"] / F.greatest(c["l"]["n_lines"], F.lit(1))).alias("dup_line_ratio"),
+        )
+
+    return let(counts, ratios)
 
-def compiled(rules: tuple[Rule, ...]) -> Column:
-    """Names of the rules that a row breaks, as one array expression."""
+
+def compiled(rules: tuple[Rule, ...], m: Column) -> Column:
+    """Names of the rules that the measures ``m`` break, as one array expression."""
     broken = []
     for r in rules:
         bad = F.lit(False)
         if r.least is not None:
-            bad = bad | (F.col(r.metric) < r.least)
+            bad = bad | (m[r.metric] < r.least)
         if r.most is not None:
-            bad = bad | (F.col(r.metric) > r.most)
+            bad = bad | (m[r.metric] > r.most)
         broken.append(F.when(bad, F.lit(r.name)))
     return F.array_compact(F.array(*broken))
 
 
+def _base_failed(m: Column, min_words: int, max_repeat_pct: int) -> Column:
+    return (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_pct * m["n_words"])
+
+
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 20, max_repeat_pct: int = 30) -> DataFrame:
-    """One row per row of ``docs``: counts, ``base_failed``, ``broken`` rules and ``kept``."""
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
-    out = metrics(docs).withColumn("base_failed", base).withColumn("broken", compiled(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+    """One row per row of ``docs``: doc_id, counts, ratios, ``base_failed``, ``broken`` rules and ``kept``."""
+    m = F.col("m")
+    got = docs.select("doc_id", measured(F.col("text")).alias("m"))
+    got = got.select("doc_id", "m.*", _base_failed(m, min_words, max_repeat_pct).alias("base_failed"), compiled(rules, m).alias("broken"))
+    return got.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+
 
+def good_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 20, max_repeat_pct: int = 30) -> DataFrame:
+    """The rows of ``docs``, as they are, that the rules keep.
 
-def good_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, as they are, that the rules keep."""
-    return judge(docs, **how).where("kept").select("doc.*")
+    The measures are bound inside the predicate: a filter on their columns would be
+    pushed below them and evaluate them once for every use.
+    """
+    verdict = lambda m: ~_base_failed(m, min_words, max_repeat_pct) & (F.size(compiled(rules, m)) == 0)
+    return docs.where(let(measured(F.col("text")), verdict))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
