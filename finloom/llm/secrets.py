@@ -3,7 +3,8 @@
 Three fixed patterns (assigned values, access keys, long hexadecimal runs) give
 the base spans.  The method looks at every further run of 20 or more characters
 ``[A-Za-z0-9+/_=-]``: its encoding is inferred from its characters (decimal, hex,
-base32, base36, base62, base64), and a battery tests it for randomness:
+base32, base36, base62, base64; letters of one case only are words and in none), and
+a battery tests it for randomness:
 
 * chi-squared uniformity over the alphabet (Wilson-Hilferty normal score),
 * the number of runs above and below the middle of the alphabet,
@@ -56,6 +57,8 @@ ENCODINGS = (
     ("base62", "^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
     ("base64", "^", UPPER + LOWER + DIGITS + "+/-_"),
 )
+#: Letters of one case and marks: words, however long.
+LETTERS = "^[A-Z]?[a-z+/_=-]+$|^[A-Z+/_=-]+$"
 #: Per mille of each character class in ordinary running text.
 PROSE = {"lower": 900.0, "upper": 50.0, "digit": 20.0, "mark": 30.0}
 #: Letters from the most to the least frequent; shares follow their rank.
@@ -87,9 +90,9 @@ def spans_of(text: Column, pattern: str, kind: str, fits=None) -> Column:
 
 
 def _inferred(token: Column) -> Column:
-    """The symbols of the narrowest encoding that holds the token."""
-    c = F.when(F.rlike(token, F.lit(ENCODINGS[0][1])), F.lit(ENCODINGS[0][2]))
-    for _, pattern, symbols in ENCODINGS[1:]:
+    """The symbols of the narrowest encoding that holds the token; null for words, which are in none."""
+    c = F.when(F.rlike(token, F.lit(LETTERS)), F.lit(None).cast("string"))
+    for _, pattern, symbols in ENCODINGS:
         c = c.when(F.rlike(token, F.lit(pattern)), F.lit(symbols))
     return c
 
