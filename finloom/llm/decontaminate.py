@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finloom.llm import bloom
 from finloom.llm.common import Staging, read
 
 K, PERCENT, MINIMA, BITS = 5, 80, 24, 1 << 24
@@ -62,20 +63,6 @@ def item_signer(k: int, minima: int):
     return sign
 
 
-def bloom_words(items: DataFrame, bits: int):
-    """The Bloom filter of all item shingles as a numpy array: at most bits / 64 rows come to the driver."""
-    import numpy as np
-
-    at = lambda shift: F.shiftrightunsigned("h", shift).bitwiseAND(bits - 1)
-    hit = items.select(F.explode(F.array(at(0), at(32))).alias("i")).select(
-        F.shiftright("i", 6).alias("word"), F.expr("shiftleft(1L, cast(i & 63 AS int))").alias("bit")
-    )
-    rows = hit.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def prober(words, bits: int, widths: list[int]):
     """Function on Arrow batches of (doc_id, text): distinct shingles that pass the filter."""
 
@@ -85,21 +72,13 @@ def prober(words, bits: int, widths: list[int]):
 
         from finloom.llm import hashing as H
 
-        table, last = words.value, np.uint64(bits - 1)
-
-        def inside(h):
-            ok = np.ones(len(h), bool)
-            for shift in (0, 32):
-                i = (h >> np.uint64(shift)) & last
-                ok &= (table[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63))) & np.uint64(1) == 1
-            return h[ok]
-
         for batch in batches:
             ids, hs = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), H.texts(batch.column("text")), strict=True):
                 h = H.word_hashes(text)
                 for k in widths if doc is not None else ():
-                    if len(h) >= k and len(got := np.unique(inside(H.windows(h, k)))):
+                    w = H.windows(h, k) if len(h) >= k else h[:0]
+                    if len(got := np.unique(w[bloom.inside(words.value, bits, w)])):
                         ids.append(np.full(len(got), doc, np.int64))
                         hs.append(H.signed(got))
             if ids:
@@ -117,7 +96,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k=K, percent=PERCENT, mi
         benchmark.select("item_id", "text").mapInArrow(item_signer(k, minima), schema).distinct(), "items"
     )
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # at most k rows
-    words = spark.sparkContext.broadcast(bloom_words(items, bits))
+    words = spark.sparkContext.broadcast(bloom.words(items, bits))
     hits = tables.put(
         docs.select("doc_id", "text").mapInArrow(prober(words, bits, widths), "doc_id long, h long").distinct(), "hits"
     )

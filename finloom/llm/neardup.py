@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finloom.llm.bloom import thinned
 from finloom.llm.common import Staging, read
 from finloom.llm.components import components
 
@@ -233,10 +234,11 @@ def linker(spec: Spec):
     return link
 
 
-def verified(pairs: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, spec: Spec, tables: Staging) -> DataFrame:
     """The pairs (a, b) that are links by their whole texts."""
-    pairs = pairs.where("a <> b").distinct()
-    one = docs.where("doc_id IS NOT NULL")
+    pairs = tables.put(pairs.where("a <> b").distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    one = thinned(docs.where("doc_id IS NOT NULL"), ids)
     with_b = pairs.join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return with_a.select("a", "b", "text_a", "text_b").mapInArrow(verifier(spec), "a long, b long").distinct()
@@ -262,7 +264,7 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     # first pass: every member with the least of its bucket
     shared = tables.put(members.join(buckets, "key"), "shared")
     star = shared.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    links = tables.put(verified(star, docs, spec), "links")
+    links = tables.put(verified(star, docs, spec, tables), "links")
     first = tables.put(components(links, tables), "first")
     # second pass: buckets with several components, in blocks
     owned = tables.put(
@@ -291,7 +293,7 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     alike = tables.put(
         in_cells(cells).mapInArrow(comparer(spec), "key long, ci int, cj int, doc_id long, component long"), "alike"
     )
-    texts = docs.where("doc_id IS NOT NULL")
+    texts = thinned(docs.where("doc_id IS NOT NULL"), alike.select("doc_id").distinct())
     more = tables.put(in_cells(alike.join(texts, "doc_id")).mapInArrow(linker(spec), "a long, b long").distinct(), "more")
     tables.drop(alike)
     tables.drop(shared, owned, mixed)
