@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from finloom.plans import balances, classification, domain
+from finloom.plans import balances, classification, domain, integrity
 
-AREAS = (balances, classification, domain)
+AREAS = (balances, classification, domain, integrity)
 QUERIES = {name: query for area in AREAS for name, query in area.QUERIES.items()}
 ORACLES = {name: sql for area in AREAS for name, sql in area.ORACLES.items()}
