@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from finloom.plans import balances, classification, domain, files, integrity
+from finloom.plans import balances, classification, domain, files, integrity, more
 
-AREAS = (balances, classification, domain, files, integrity)
+AREAS = (balances, classification, domain, files, integrity, more)
 QUERIES = {name: query for area in AREAS for name, query in area.QUERIES.items()}
 ORACLES = {name: sql for area in AREAS for name, sql in area.ORACLES.items()}
