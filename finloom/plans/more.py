@@ -80,7 +80,6 @@ def markdown_table_detect(spark, d):
     return f.groupBy("doc_id").agg(F.sum("row").alias("table_lines"), F.count("*").alias("n_lines")).where("table_lines > 0")
 
 
-@F.pandas_udf("boolean")
 def _repeats(tails: pd.Series) -> pd.Series:
     """Whether the end of a text repeats a pattern of 5 to 500 characters 20 times, or over 70 % of it."""
 
@@ -97,8 +96,8 @@ def _repeats(tails: pd.Series) -> pd.Series:
 
 
 def repetition_flag(spark, d):
-    docs = S.table(spark, d, "documents")
-    return docs.select("doc_id", _repeats(F.right(F.coalesce("text", F.lit("")), F.lit(2000))).alias("repeats"))
+    docs, repeats = S.table(spark, d, "documents"), F.pandas_udf(_repeats, "boolean")
+    return docs.select("doc_id", repeats(F.right(F.coalesce("text", F.lit("")), F.lit(2000))).alias("repeats"))
 
 
 def citation_join(spark, d):
