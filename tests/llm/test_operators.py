@@ -178,6 +178,19 @@ def test_repeated_passages_are_found(spark):
     assert all(len(kept[200 + i]) < len(text[200 + i]) - 139 and kept[100 + i] == text[100 + i] for i in range(40))
 
 
+def test_passages_of_short_words_are_found_whole(spark):
+    rng = random.Random(8)
+    short = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 4))) for _ in range(n))
+    passages = [short(51) for _ in range(200)]
+    docs = [(i, short(rng.randint(0, 60)) + " (" + p + ") " + short(40)) for i, p in enumerate(passages)]
+    docs += [(1000 + i, short(rng.randint(0, 60)) + " [" + p + "] " + short(40)) for i, p in enumerate(passages)]
+    lines = [short(40) for _ in range(100)]  # no passages: too few words, and under 140 characters
+    docs += [(k + i, short(30) + " " + p + " " + short(30)) for k in (2000, 3000) for i, p in enumerate(lines)]
+    text = dict(docs)
+    got = {(r.doc_id, text[r.doc_id][r.start : r.start + r.chars]) for r in substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(1000 + i, p) for i, p in enumerate(passages)}
+
+
 def test_chunk_ends_resist_insertions():
     rng = random.Random(2)
     data = prose(rng, 3000).encode()
