@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -80,24 +82,48 @@ def markdown_table_detect(spark, d):
     return f.groupBy("doc_id").agg(F.sum("row").alias("table_lines"), F.count("*").alias("n_lines")).where("table_lines > 0")
 
 
+WINDOW, STARTS, SHORTEST, LONGEST = 2000, 200, 5, 500
+
+
+def _real(part: str) -> bool:
+    return bool(re.sub(r"<[^>]+>", "", part).strip())
+
+
 def _repeats(tails: pd.Series) -> pd.Series:
-    """Whether the end of a text repeats a pattern of 5 to 500 characters 20 times, or over 70 % of it."""
+    """Whether a pattern repeats 20 times, or over 70 % of the window, backwards from one of its last 200 characters.
+
+    Of the patterns, the one with most repeats decides, the shortest and leftmost of these.  What
+    breaks a repetition off must be tags or blanks; with real content before it, it doesn't count.
+    """
+    import numpy as np
+
+    least = -(-WINDOW * 7 // 10 // STARTS)  # fewer repeats meet neither limit, as patterns start and end in STARTS
 
     def one(t: str) -> bool:
-        for size in range(5, min(500, len(t) // 2) + 1):
-            unit, n = t[-size:], 1
-            while t[-size * (n + 1) : -size * n] == unit:
-                n += 1
-            if n >= 20 or (n > 1 and n * size >= 0.7 * len(t)):
-                return True
-        return False
+        if len(t) < WINDOW:
+            return False
+        c, first = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), WINDOW - STARTS
+        best, best_size = 0, 0
+        for size in range(SHORTEST, min(LONGEST, STARTS) + 1):
+            same = c[size:] == c[:-size]
+            if np.count_nonzero(same[max(0, first - (least - 1) * size) :]) < (least - 1) * size:
+                continue
+            at = np.arange(len(same))
+            run = at - np.maximum.accumulate(np.where(same, -1, at))
+            starts = np.arange(first, WINDOW - size + 1)
+            counts = run[starts - 1] // size + 1
+            for i in np.flatnonzero(counts >= least):
+                n, before = int(counts[i]), int(starts[i] - counts[i] * size)
+                if n > best and not (before >= 0 and _real(t[before : before + size])):
+                    best, best_size = n, size
+        return best >= 20 or best * best_size >= 0.7 * WINDOW
 
     return tails.map(one)
 
 
 def repetition_flag(spark, d):
     docs, repeats = S.table(spark, d, "documents"), F.pandas_udf(_repeats, "boolean")
-    return docs.select("doc_id", repeats(F.right(F.coalesce("text", F.lit("")), F.lit(2000))).alias("repeats"))
+    return docs.select("doc_id", repeats(F.right(F.coalesce("text", F.lit("")), F.lit(WINDOW))).alias("repeats"))
 
 
 def citation_join(spark, d):
