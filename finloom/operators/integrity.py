@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finloom.operators.balance import upper_medians
+
 # Programs that edit finished documents.
 EDITORS = ("PHOTOSHOP", "ILLUSTRATOR", "ACROBAT PRO", "FOXIT", "NITRO", "PDFELEMENT", "SEJDA", "SMALLPDF", "ILOVEPDF", "CANVA", "INKSCAPE", "LIBREOFFICE")
 SEVERITY = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
@@ -49,10 +51,7 @@ def font_findings(spans: DataFrame, least_pct: int = 85) -> DataFrame:
 def batch_outliers(meta: DataFrame, times: int = 3) -> DataFrame:
     """Files above ``times`` the upper median of bytes per page of their bank, but for thin small ones."""
     per = meta.where("pages > 0").withColumn("per_page", F.floor(F.col("file_size") / F.col("pages")))
-    middle = per.groupBy("bank").agg(
-        F.element_at(F.sort_array(F.collect_list("per_page")), (F.count("*") / 2).cast("int") + 1).alias("middle"),
-        F.element_at(F.sort_array(F.collect_list("pages")), (F.count("*") / 2).cast("int") + 1).alias("usual_pages"),
-    )
+    middle = upper_medians(per, "bank", "per_page", "middle").drop("n").join(upper_medians(per, "bank", "pages", "usual_pages").drop("n"), "bank")
     thin = (F.col("pages") <= 2) & (F.col("usual_pages") >= 4) & (F.col("file_size") < 600_000)
     return per.join(middle, "bank").where((F.col("per_page") > F.col("middle") * times) & ~thin).select("file", "bank", "per_page", "middle")
 
