@@ -5,6 +5,9 @@ are packed longest first: bins are kept in order of their residual, and the sear
 goes from the least residual that is large enough to ever larger ones, until a bin
 has neither the document's source nor its duplicate cluster in its bitmaps.
 
+The query's clusters are the groups of near copies that operator 4 finds at five words
+and 80 %; ``pack`` alone, as in the pipeline after near-dedup, takes equal words.
+
 Documents are dealt to shards of about ``shard_rows`` by a hash of their id, so a
 source or cluster of any size is spread evenly; a task holds one shard at a time.
 
@@ -19,10 +22,11 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finloom.llm.common import ascii_lower, let, read, words
+from finloom.llm.neardup import near_duplicates
 
 CAPACITY, SHARD_ROWS = 2048, 4096
 PACKED = "bin_id long, position int, doc_id long, piece int, start_word long, n_words long"
@@ -106,11 +110,12 @@ def packer(capacity: int):
     return pack
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, cluster: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, cluster: str | None = None, clusters: DataFrame | None = None) -> DataFrame:
     """One row per piece of a document: see PACKED.
 
     ``cluster`` names a column of duplicate clusters; by default documents of equal
-    words, A-Z lower-cased, are a cluster.
+    words, A-Z lower-cased, are a cluster.  ``clusters`` (key, near) gives clusters by
+    ``key_of`` instead, for documents that have words.
     """
     shards = max(1, -(-docs.count() // shard_rows))
     equal = let(words(ascii_lower(F.col("text"))), lambda w: F.when(F.size(w) > 0, F.xxhash64(F.array_join(w, " "))))
@@ -120,9 +125,25 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
         F.col("source").cast("string").alias("source"),
         (F.col(cluster).cast("long") if cluster else equal).alias("cluster"),
         F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(shards)).cast("long").alias("shard"),
+        *([key_of().alias("key")] if clusters is not None else []),
     )
+    if clusters is not None:
+        near = F.when(F.col("n") > 0, F.coalesce("near", "cluster"))
+        sized = sized.join(clusters, "key", "left").select("doc_id", "n", "source", near.alias("cluster"), "shard")
     return sized.repartition("shard").sortWithinPartitions("shard").mapInArrow(packer(capacity), PACKED)
 
 
+def key_of() -> Column:
+    """doc_id, and a hash of the text where there is none, so that such documents have clusters too."""
+    return F.coalesce("doc_id", F.xxhash64("text"))
+
+
+def near_clusters(docs: DataFrame) -> DataFrame:
+    """key, near: the group of near copies (operator 4, five words and 80 %) of every document."""
+    found = near_duplicates(docs.select(key_of().alias("doc_id"), "text"))
+    return found.groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("near"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    return pack(docs, clusters=near_clusters(docs))

@@ -265,6 +265,24 @@ def test_packing_matches_naive_best_fit():
     assert got == _naive_pack(rows, 100)
 
 
+def test_near_copies_share_no_bin(spark, tmp_path):
+    rng = random.Random(4)
+    docs = []
+    for i in range(20):
+        w = prose(rng, 60).split()
+        for j in range(4):  # each differs from the others by one added word
+            docs.append((None if i < 2 and j == 3 else i * 4 + j, " ".join([*w, f"end{j}"]), f"s{i}-{j}"))
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    group = {doc: int(source[1:].split("-")[0]) for doc, _, source in docs if doc is not None}
+    bins = {}
+    got = packing.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        bins.setdefault(r.bin_id, []).append(r.doc_id)
+    kept = [[group[d] for d in b if d is not None] for b in bins.values()]
+    assert all(len(b) == len(set(b)) for b in kept) and max(map(len, kept)) > 10
+
+
 def test_packing_is_whole(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = packing.pack(docs, capacity=256, shard_rows=64).collect()
