@@ -11,6 +11,11 @@ CORPORATE = (
     r"(^|[^A-Z])(SDN\.?\s*BHD\.?|BERHAD|BHD\.?|ENTERPRISES?|TRADING|CORPORATION|GROUP|HOLDINGS|INDUSTRIES"
     r"|CO\.?\s*LTD|PTE\.?\s*LTD|LIMITED|GMBH|LLC|PLC|IMPORT|EXPORT|EXPO|TECHN?OLOGY)($|[^A-Z])"
 )
+#: A legal form glued to its name, cut off by a length limit, or written SB at the end.
+CORPORATE_GLUED = r"[A-Z]{4,}(?:SDNBHD\.?|BERHAD|BHD\.?)(?:$|[^A-Z])"
+CORPORATE_CUT = r"[A-Z]{2,}\s+(?:\([^)]*\)\s+)?SDN\.?(?:\s+BH?\.?)?\s*$"
+CORPORATE_SB = r"[A-Z]{2,}\s+(?:\([^)]*\)\s+)?SB\s*$"
+CORPORATE_ANY = "|".join((CORPORATE, CORPORATE_GLUED, CORPORATE_CUT, CORPORATE_SB))
 PERSON = r"\b(BIN|BINTI|BT|A/L|A/P)\b"
 REFERENCE = r"\b[A-Z]{0,3}[0-9]{6,}\b"
 
@@ -47,7 +52,7 @@ def merge_key(c: Column) -> Column:
 
 
 def is_corporate(c: Column) -> Column:
-    return F.rlike(squash_upper(c), F.lit(CORPORATE))
+    return F.rlike(squash_upper(c), F.lit(CORPORATE_ANY))
 
 
 def is_person(c: Column) -> Column:

@@ -60,9 +60,10 @@ def equity_articulation(chain: DataFrame) -> DataFrame:
 
 
 def missing_periods(f: DataFrame) -> DataFrame:
-    """Entity and period combinations without figures: required less present."""
-    need = f.select("entity").distinct().crossJoin(F.broadcast(f.select("period").distinct()))
-    return need.join(f.select("entity", "period"), ["entity", "period"], "left_anti")
+    """Entity and period combinations without figures: all periods, one small row, less the entity's own."""
+    every = f.agg(F.collect_set("period").alias("every"))
+    own = f.groupBy("entity").agg(F.collect_set("period").alias("own"))
+    return own.join(every).select("entity", F.explode(F.array_except("every", "own")).alias("period"))
 
 
 def movement(f: DataFrame, item: str) -> DataFrame:

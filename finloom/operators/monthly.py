@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finloom.config import DEFAULT, Settings
 from finloom.operators.classify import SIDES
 
 
-def category_pivot(rows: DataFrame) -> DataFrame:
-    """Per account and month one sum and one count for every category; balance rows stay out."""
-    amount = F.greatest("credit", "debit")
-    codes = [c for c in SIDES if c != "C25"]
+def by_category(rows: DataFrame) -> DataFrame:
+    """Per account, month and category: rows and sums, the only pass over the rows that the matrices below need."""
+    return rows.groupBy("account", "month", "primary").agg(
+        F.count("*").alias("n"), F.sum(F.greatest("credit", "debit")).alias("amount"), F.sum("credit").alias("credits"), F.sum("debit").alias("debits")
+    )
+
+
+def category_pivot(rows: DataFrame, balances: bool = False) -> DataFrame:
+    """Per account and month one sum and one count for every category; rows of balances only count if asked for."""
+    codes = [c for c in SIDES if balances or c != "C25"]
+    real = by_category(rows)
+    if not balances:
+        real = real.where("primary IS NULL OR primary <> 'C25'")
     cols = []
     for c in codes:
-        cols += [F.sum(F.when(F.col("primary") == c, amount).otherwise(0)).alias(f"{c.lower()}_sum"), F.count_if(F.col("primary") == c).alias(f"{c.lower()}_n")]
-    real = rows.where("primary IS NULL OR primary <> 'C25'")
+        here = F.col("primary") == c
+        cols += [F.sum(F.when(here, F.col("amount")).otherwise(0)).alias(f"{c.lower()}_sum"), F.sum(F.when(here, F.col("n")).otherwise(0)).alias(f"{c.lower()}_n")]
     return real.groupBy("account", "month").agg(
-        F.sum("credit").alias("gross_credits"), F.sum("debit").alias("gross_debits"), *cols, F.count_if(F.col("primary").isNull()).alias("unclassified")
-    )
+        F.sum("credits").alias("gross_credits"), F.sum("debits").alias("gross_debits"), *cols,
+        F.sum(F.when(F.col("primary").isNull(), F.col("n")).otherwise(0)).alias("unclassified"),
+    )
 
 
 def net_totals(pivot: DataFrame) -> DataFrame:
@@ -31,10 +41,10 @@ def net_totals(pivot: DataFrame) -> DataFrame:
     )
 
 
-def statutory_matrix(pivot: DataFrame) -> DataFrame:
+def statutory_matrix(pivot: DataFrame, *keep: str) -> DataFrame:
     return pivot.select(
         "account", "month", F.col("c05_sum").alias("salary"), F.col("c06_sum").alias("epf"), F.col("c07_sum").alias("socso"),
-        F.col("c08_sum").alias("tax"), F.col("c09_sum").alias("hrdf"),
+        F.col("c08_sum").alias("tax"), F.col("c09_sum").alias("hrdf"), *keep,
     )
 
 
@@ -57,11 +67,11 @@ def band_runs(matrix: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return island.select("account", "month", "status", label.alias("label"))
 
 
-def compliance(matrix: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Per account: months of salary, those covered by EPF and SOCSO, missing months, and the overall status."""
+def compliance(matrix: DataFrame, *more: Column, settings: Settings = DEFAULT) -> DataFrame:
+    """Per account: months of salary, those covered by EPF and SOCSO, missing months, and the overall status; ``more`` aggregates."""
     pick = lambda c: F.array_sort(F.collect_set(F.when(F.col(c) > 0, F.col("month"))))
     sets = matrix.groupBy("account").agg(
-        *[pick(c).alias(f"{c}_months") for c in ("salary", "epf", "socso", "tax", "hrdf")], F.sum("salary").alias("salary_total")
+        *[pick(c).alias(f"{c}_months") for c in ("salary", "epf", "socso", "tax", "hrdf")], F.sum("salary").alias("salary_total"), *more
     )
     n = F.size("salary_months")
     covered = lambda c: F.size(F.array_intersect("salary_months", f"{c}_months"))
@@ -70,7 +80,7 @@ def compliance(matrix: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         F.array_join(F.array_sort(F.array_except("salary_months", "epf_months")), ",").alias("epf_missing"),
         F.array_join(F.array_sort(F.array_except("salary_months", "socso_months")), ",").alias("socso_missing"),
         F.size("tax_months").alias("tax_n"), F.size("hrdf_months").alias("hrdf_n"), "salary_total",
-        ((F.col("salary_total") > 0) & (F.col("salary_total") <= settings.subthreshold_salary)).alias("subthreshold"),
+        ((F.col("salary_total") > 0) & (F.col("salary_total") <= settings.subthreshold_salary)).alias("subthreshold"), *sets.columns[7:],
     )
     status = (
         F.when((F.col("salary_n") > 0) & ((F.col("epf_n") == 0) | (F.col("socso_n") == 0)), F.when(F.col("subthreshold"), "SUB_THRESHOLD").otherwise("CRITICAL"))
@@ -103,6 +113,7 @@ def credit_overlays(tx: DataFrame, eod: DataFrame, settings: Settings = DEFAULT)
     )
 
 
+#: Names of the flags, in order of their numbers.
 FLAG_NAMES = (
     "Returned Cheques (Inward)", "Returned Cheques (Outward)", "Round Figure Credits (AML)", "High Value Credits (>3x EOD)", "Cash Deposits (AML)",
     "EPF Compliance", "SOCSO Compliance", "LHDN Tax Payments", "Large Credits (>=RM100K)", "Own Party Transactions", "Related Party Transactions",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from finloom.config import DEFAULT, Settings
 from finloom.functions.text import is_person, merge_key, repaired_suffix, squash_upper
-from finloom.operators.classify import GHOSTS
+from finloom.operators.classify import CHEQUE_BUCKETS, GHOSTS
 
 
 def named(tx: DataFrame) -> DataFrame:
@@ -15,10 +15,10 @@ def named(tx: DataFrame) -> DataFrame:
     return tx.withColumn("party", repaired_suffix(F.col("counterparty")))
 
 
-def without_ghosts(rows: DataFrame, name: str = "party") -> DataFrame:
-    """Rows whose name is a party; the fixed list of ghosts is bounded and so broadcast."""
-    ghosts = rows.sparkSession.createDataFrame([(g,) for g in GHOSTS], "ghost string")
-    return rows.join(F.broadcast(ghosts), squash_upper(F.col(name)) == F.col("ghost"), "left_anti")
+def without_ghosts(rows: DataFrame, name: str = "party", cheques: bool = True) -> DataFrame:
+    """Rows whose name is a party; with ``cheques`` false, cheque and cash buckets stay.  Null names stay."""
+    gone = GHOSTS + (CHEQUE_BUCKETS if cheques else ())
+    return rows.where(~F.coalesce(squash_upper(F.col(name)).isin(*gone), F.lit(False)))
 
 
 def ledger(tx: DataFrame) -> DataFrame:

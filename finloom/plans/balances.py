@@ -65,9 +65,10 @@ def median_outlier_filter(spark, d):
 
 
 def year_rollover(spark, d):
+    """Dates printed in one leap year, so that every day has a printed form."""
     tx = S.ledger(spark, d)
-    printed = tx.withColumn("printed", F.to_date(F.concat(F.lit("2001"), F.substring(F.col("date").cast("string"), 5, 6))))
-    return B.rolled_years(printed.where("NOT date_format(date, 'MM-dd') = '02-29'")).select("account", "row_ord", "years", "rolled")
+    printed = tx.withColumn("printed", F.to_date(F.concat(F.lit("2004"), F.substring(F.col("date").cast("string"), 5, 6))))
+    return B.rolled_years(printed).select("account", "row_ord", "years", "rolled")
 
 
 def dedupe_fingerprint(spark, d):
@@ -105,7 +106,7 @@ ORACLES = {
         WHEN checked > 0 AND cr_rows >= checked * 0.9 THEN 'CR' ELSE 'UNDETERMINED' END AS account_type FROM g""",
     "median_outlier_filter": TX + """, s AS (SELECT account, list_sort(list(balance))[len(list(balance)) // 2 + 1] AS middle, count(*) AS n FROM bal GROUP BY account)
       SELECT account, count(*) AS kept_rows, CAST(sum(balance) AS BIGINT) AS kept_sum FROM bal JOIN s USING (account) WHERE n < 10 OR abs(balance - middle) <= 20000 GROUP BY account""",
-    "year_rollover": f"""WITH tx AS ({S.LEDGER_SQL}), p AS (SELECT *, CAST('2001' || substr(CAST(date AS VARCHAR), 5, 6) AS DATE) AS printed FROM tx WHERE strftime(date, '%m-%d') <> '02-29'),
+    "year_rollover": f"""WITH tx AS ({S.LEDGER_SQL}), p AS (SELECT *, CAST('2004' || substr(CAST(date AS VARCHAR), 5, 6) AS DATE) AS printed FROM tx),
       q AS (SELECT *, CASE WHEN lag(printed) OVER (PARTITION BY account ORDER BY row_ord) - printed > 30 THEN 1 ELSE 0 END AS fall FROM p),
       y AS (SELECT *, CAST(sum(fall) OVER (PARTITION BY account ORDER BY row_ord) AS BIGINT) AS years FROM q)
       SELECT account, row_ord, years, CAST(printed + to_months(CAST(years * 12 AS INT)) AS DATE) AS rolled FROM y""",

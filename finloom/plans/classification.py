@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from finloom.functions import text
 from finloom.operators import balance as B
 from finloom.operators import classify as C
 from finloom.operators import monthly as M
@@ -67,16 +68,17 @@ def credit_overlays(spark, d):
 
 
 def _facts(spark, d):
-    rows = _rows(spark, d)
-    codes = rows.groupBy("account").agg(*[F.count_if(F.col("primary") == c).alias(f"{c.lower()}_n") for c in C.SIDES])
+    """One row per account; categories and compliance come from one pivot, so the ladder runs once."""
+    pivot = M.category_pivot(_rows(spark, d), balances=True)
+    matrix = M.statutory_matrix(pivot, *[f"{c.lower()}_n" for c in C.SIDES]).withColumn("epf", F.floor(F.col("epf") / 4).cast("bigint"))
+    codes = M.compliance(matrix, *[F.sum(f"{c.lower()}_n").alias(f"{c.lower()}_n") for c in C.SIDES])
     marks = credit_overlays(spark, d).groupBy("account").agg(
         F.count_if("large").alias("large_n"), F.count_if("round_figure").alias("round_n"), F.count_if("high_value").alias("high_n")
     )
-    comp = M.compliance(_matrix(spark, d)).select("account", "salary_n", "epf_n", "socso_n")
     months = B.monthly_balances(B.with_running_balance(S.ledger(spark, d)))
     recon = B.reconciled(months).groupBy("account").agg(F.count_if(F.col("status") == "FAIL").alias("failed_months"), F.max_by("closing", "month").alias("last_closing"))
     fx = C.detected(S.ledger(spark, d), C.DETECTORS["detect_fx"]).groupBy("account").agg(F.sum("hits").alias("fx_n"))
-    return codes.join(marks, "account", "left").join(comp, "account", "left").join(recon, "account", "left").join(fx, "account", "left")
+    return codes.join(marks, "account", "left").join(recon, "account", "left").join(fx, "account", "left")
 
 
 def risk_flags(spark, d):
@@ -158,6 +160,10 @@ def _hit(r: C.Rung) -> str:
     return f"({side} AND {_m('t', r.pattern)} AND NOT {_m('t', r.unless)})"
 
 
+_WORDS = ", ".join(f"'{w}'" for w in C.JOMPAY_WORDS)
+_BILLER = rf"(regexp_matches(t, '^\s*JOMPAY\b') AND len(list_filter(regexp_split_to_array(t, '[\s,/\-]+'), lambda w: regexp_matches(w, '^[A-Z]{{2,}}$') AND w NOT IN ({_WORDS}))) = 0)"
+
+
 def _ladder_sql() -> str:
     own = f"(t LIKE '%{ROOT}%' OR p LIKE '%{ROOT}%' OR (length(p) >= 6 AND contains('{ROOT}', p)))"
     own_p = f"(p LIKE '%{ROOT}%' OR (length(p) >= 6 AND contains('{ROOT}', p)))"
@@ -172,9 +178,9 @@ def _ladder_sql() -> str:
     for r in C.RUNGS:
         if r.code == "C13":
             out.append(f"WHEN side = 'DR' AND {_m('p', C.FINANCIER)} AND NOT {_m('p', C.NO_FINANCIER)} AND NOT {_m('p', C.PERSON)} AND NOT {_m('t', C.FEES)} THEN 'C11/HEURISTIC'")
-        test = _hit(r) + (f" OR (side = 'CR' AND p IN ({', '.join(map(_q, S.FACTORS))}))" if r.code == "C10" else "")
+        test = _hit(r) + (f" AND NOT {_BILLER}" if r.guarded else "") + (f" OR (side = 'CR' AND p IN ({', '.join(map(_q, S.FACTORS))}))" if r.code == "C10" else "")
         out.append(f"WHEN {test} THEN '{r.code}/KEYWORD'")
-    out.append(f"WHEN side IS NOT NULL AND {_m('p', C.CORPORATE)} AND NOT {_m('p', C.PERSON)} THEN {both('C26', 'C27', 'HEURISTIC')}")
+    out.append(f"WHEN side IS NOT NULL AND {_m('p', text.CORPORATE_ANY)} AND NOT {_m('p', C.PERSON)} THEN {both('C26', 'C27', 'HEURISTIC')}")
     return "CASE " + "\n".join(out) + " END"
 
 

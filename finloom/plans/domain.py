@@ -138,7 +138,7 @@ def fin_equity_lag(spark, d):
 
 
 def fin_missing_periods(spark, d):
-    return FS.missing_periods(S.figures(spark, d).where("(entity + cast(period as int)) % 9 <> 0"))
+    return FS.missing_periods(S.figures(spark, d))
 
 
 def fin_drift(spark, d):
@@ -201,7 +201,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _REPAIR = r"regexp_replace(upper(trim(regexp_replace(counterparty, '\s+', ' ', 'g'))), '\s+(SDN\.?(\s+B(H(D\.?)?)?)?|SB)$', ' SDN BHD')"
-_LIST = ", ".join(f"'{g}'" for g in Y.GHOSTS)
+_LIST = ", ".join(f"'{g}'" for g in Y.GHOSTS + Y.CHEQUE_BUCKETS)
 TX = f"WITH tx AS ({S.LEDGER_SQL}), n AS (SELECT *, {_REPAIR} AS party FROM tx)"
 BOOK = TX + """, b AS (SELECT party, CAST(sum(credit) AS BIGINT) AS credits, CAST(sum(debit) AS BIGINT) AS debits, CAST(sum(credit - debit) AS BIGINT) AS net,
   count(*) FILTER (credit > 0) AS credit_rows, count(*) FILTER (debit > 0) AS debit_rows, count(*) AS n_rows, count(DISTINCT month) AS months FROM n GROUP BY party)"""
@@ -271,7 +271,7 @@ ORACLES = {
     "fin_days": FIG + " SELECT entity, period, CAST(CASE WHEN revenue <> 0 THEN floor(CAST(tax AS DECIMAL(38, 6)) * 365 / revenue) END AS BIGINT) AS debtor_days, CAST(CASE WHEN cost <> 0 THEN floor(CAST(tax AS DECIMAL(38, 6)) * 365 / cost) END AS BIGINT) AS creditor_days FROM f",
     "fin_dscr": FIG + f", p AS (SELECT *, greatest(coalesce(lag(cost) OVER (PARTITION BY entity ORDER BY period) - cost, 0), 0) AS principal FROM c), q AS (SELECT *, interest + principal AS service FROM p) SELECT entity, period, principal, service, {_bp('ebit', 'service')} AS dscr FROM q",
     "fin_equity_lag": FIG + ", r AS (SELECT *, CAST(sum(npat) OVER (PARTITION BY entity ORDER BY period) AS BIGINT) AS retained FROM c), l AS (SELECT *, lag(retained) OVER (PARTITION BY entity ORDER BY period) AS opening FROM r) SELECT entity, period, opening, npat, retained, CASE WHEN abs(opening + npat - retained) <= 200 THEN 'OK' ELSE 'DIFFERS' END AS status FROM l WHERE opening IS NOT NULL",
-    "fin_missing_periods": FIG + ", g AS (SELECT entity, period FROM f WHERE (entity + CAST(period AS INT)) % 9 <> 0) SELECT e.entity, p.period FROM (SELECT DISTINCT entity FROM g) e, (SELECT DISTINCT period FROM g) p EXCEPT SELECT entity, period FROM g",
+    "fin_missing_periods": FIG + ", g AS (SELECT entity, period FROM f) SELECT e.entity, p.period FROM (SELECT DISTINCT entity FROM g) e, (SELECT DISTINCT period FROM g) p EXCEPT SELECT entity, period FROM g",
     "fin_drift": FIG + f", b AS (SELECT *, lag(revenue) OVER (PARTITION BY entity ORDER BY period) AS before FROM f) SELECT entity, period, revenue, before, {_bp('(revenue - before)', 'before')} AS change FROM b",
     "chunk_page": FRAG + " SELECT doc_id, page, sha256(string_agg(content, chr(10) ORDER BY reading_order)) AS sha256 FROM fr GROUP BY doc_id, page",
     "chunk_section": FRAG + """, s AS (SELECT *, CASE WHEN kind = 'section_header' AND coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY reading_order), '') <> 'section_header' THEN 1 ELSE 0 END AS st FROM fr),

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from finloom.cluster import ship
+
 #: Narratives by remainder of the order key: (text, side).
 PHRASES = (
     ("EPF DPE CONTRIBUTION", "DR"), ("KWSP CARUMAN", "DR"), ("PERKESO CONTRIBUTION", "DR"), ("EIS PAYMENT", "DR"),
@@ -90,6 +92,8 @@ FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SEL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; functions that run in Python workers find this package from then on."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
