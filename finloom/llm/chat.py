@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finloom.llm.common import let, read
+from finloom.llm.common import let, prefix_sums, read
 
 LOSS_ROLE = "assistant"
 _REST = r"(/?s>|/?INST\]|TURN\])"
@@ -104,25 +104,32 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return by_turn.select("conv_id", render(F.col("ts")).alias("r")).select("conv_id", "r.formatted", "r.loss_runs")
 
 
+def under_mask(formatted: Column, runs: Column) -> Column:
+    """The text under the loss mask: the formatted text cut by the lengths of the runs, control strings restored."""
+
+    def body(starts: Column) -> Column:
+        cut = F.transform(runs, lambda r, i: F.when(r["loss"], F.substr(formatted, (F.get(starts, i) + 1).cast("int"), r["chars"].cast("int"))))
+        return F.array_join(F.transform(cut, unescape), "")
+
+    return let(prefix_sums(F.transform(runs, lambda r: r["chars"])), body)
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """What can be read back from the output: turns, and the text under the loss mask."""
 
     def body(ts: Column) -> Column:
         line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
-        masked = F.transform(ts, lambda t, i: F.when(F.get(F.col("loss_runs"), 2 * i + 1)["loss"], t["text"]))
-        return F.struct(
-            F.size(ts).cast("long").alias("n_turns"),
-            F.sha2(F.array_join(F.transform(ts, line), ""), 256).alias("turns_sha256"),
-            F.array_join(masked, "").alias("loss_text"),
-        )
+        return F.struct(F.size(ts).cast("long").alias("n_turns"), F.sha2(F.array_join(F.transform(ts, line), ""), 256).alias("turns_sha256"))
 
-    got = formatted.select("conv_id", let(parse(F.col("formatted")), body).alias("d"), "formatted")
+    got = formatted.select(
+        "conv_id", let(parse(F.col("formatted")), body).alias("d"), under_mask(F.col("formatted"), F.col("loss_runs")).alias("loss_text"), "formatted"
+    )
     return got.select(
         "conv_id",
         "d.n_turns",
         "d.turns_sha256",
-        F.length("d.loss_text").cast("long").alias("loss_chars"),
-        F.sha2("d.loss_text", 256).alias("loss_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

@@ -23,9 +23,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder; under a local master, where none is set, a temporary one (tests)."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         held = "file://" + tempfile.mkdtemp(prefix="finloom-shared-")
         spark.conf.set("spark.checkpoint.dir", held)
     return held.rstrip("/")
@@ -34,10 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
 class Staging:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
-    ``put`` writes and rereads a DataFrame; ``drop`` deletes what is no longer read.
+    ``put`` writes and rereads a DataFrame; ``drop`` deletes what is no longer read, and
+    ``clear`` all of it.  A result that is read lazily needs its tables until it is
+    written: the caller that writes it may then clear what was opened since (``live``).
     """
 
+    live: list[Staging] = []
+
     def __init__(self, spark: SparkSession, name: str):
+        Staging.live.append(self)
         ship(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -52,12 +59,26 @@ class Staging:
         return out
 
     def drop(self, *frames: DataFrame | None) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
         for df in frames:
             if path := getattr(df, "_staged_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                self._delete(path)
+
+    def clear(self) -> None:
+        self._delete(self.base)
+
+    def _delete(self, path: str) -> None:
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+#: Ids of up to this many rows, 32 MB of them, are sent to every executor; more are joined by a shuffle.
+FEW_IDS = 4_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not in ``ids``, a staged table; their texts aren't shuffled while the ids are few."""
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

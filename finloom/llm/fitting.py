@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,12 +12,19 @@ def remainder(modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))
 
 
+#: Bytes of text of one class that come to the driver at most.
+CLASS_BYTES = 48 << 20
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_class: int, max_chars: int):
     """Texts and labels of a bounded sample: ([bytes], array of 0/1), in order of a hash of doc_id.
 
     Rows of ``labels`` outside the training folds (``fold`` false) are never read.
-    At most about ``per_class`` documents of each class, of ``max_chars`` at most,
-    come to the driver; their ids are few by that bound, so they are broadcast.
+    About ``per_class`` documents of each class are chosen by a hash of their ids, which
+    are few by that bound and so broadcast.  Of repeated rows of a doc_id, Spark keeps
+    the least text; a text of more than ``max_chars`` gives a stretch of that length
+    from a place that its hash sets; what is beyond CLASS_BYTES of a class, in order of
+    the hash, is left out before anything is collected.
     """
     known = labels.where(fold & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -27,16 +34,21 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_cla
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     share = F.when(F.col("y") == 1, int(1e6 * per_class / counts[1]) + 1).otherwise(int(1e6 * per_class / counts[0]) + 1)
     chosen = known.where(rank < share)
+    spare = F.greatest(F.length("text") - max_chars, F.lit(0))
+    start = F.pmod(F.xxhash64("text"), spare + 1).cast("int")
     rows = (
-        docs.where(F.length("text") <= max_chars)
+        docs.where("text IS NOT NULL")
         .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", F.col("text").cast("binary").alias("text"), "y")
-        .toPandas()
-        .drop_duplicates("doc_id")
+        .select("doc_id", "y", F.substr("text", start + 1, F.lit(max_chars)).alias("text"))
+        .groupBy("doc_id", "y")
+        .agg(F.min("text").alias("text"))
+        .withColumn("order", F.xxhash64("doc_id", F.lit("order")))
     )
-    rows["order"] = np.array(rows["doc_id"], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    rows = rows.sort_values("order")
-    return [bytes(t) for t in rows["text"]], rows["y"].to_numpy(int)
+    # two windows of some thousand rows each, by the bound above
+    upto = Window.partitionBy("y").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounded = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(upto)).where(F.col("bytes") <= CLASS_BYTES)
+    held = bounded.select("order", "doc_id", F.col("text").cast("binary").alias("text"), "y").toPandas().sort_values(["order", "doc_id"])
+    return [bytes(t) for t in held["text"]], held["y"].to_numpy(int)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 50):

@@ -19,10 +19,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: bytes | None) -> np.ndarray:
     """64-bit hashes of the words of a text, A-Z lower-cased."""
-    if not text:
-        return np.empty(0, np.uint64)
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(w) for w in text.lower().split()], np.uint64)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, (text or b"").lower().split())), np.uint64)
 
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:
@@ -34,13 +31,14 @@ def shingles(text: bytes | None, k: int) -> np.ndarray:
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k word hashes."""
+    """Hashes of all runs of k word hashes: a polynomial in them, mixed at the end."""
     with np.errstate(over="ignore"):
         n = len(h) - k + 1
         out = np.full(n, np.uint64(k), np.uint64)
         for i in range(k):
-            out = mix(out * GOLDEN + h[i : i + n])
-    return out
+            out *= GOLDEN
+            out += h[i : i + n]
+        return mix(out)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -56,6 +56,9 @@ class Spec:
 #: Of the op4 contract: three words, 85 %.
 CONTRACT = Spec(k=3, percent=85, bands=24, rows=5)
 
+#: Shingles that are hashed at once.
+STEP = 512
+
 SIGNED = "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"
 
 
@@ -69,25 +72,35 @@ def signer(spec: Spec):
         from finloom.llm import hashing as H
 
         rng = np.random.default_rng(20240229)
-        a = rng.integers(1, 2**63, spec.minima, np.uint64) | np.uint64(1)
-        b = rng.integers(0, 2**63, spec.minima, np.uint64)
+        a = rng.integers(0, 2**32, spec.minima, np.uint32) | np.uint32(1)
+        b = rng.integers(0, 2**32, spec.minima, np.uint32)
         band = np.arange(spec.bands, dtype=np.uint64)
+        room = np.empty((STEP, spec.minima), np.uint32)
+
+        def minima(s):
+            """Least value of every hash a * x + b (mod 2^32) over the shingles."""
+            x = (s >> np.uint64(32)).astype(np.uint32)
+            least = np.full(spec.minima, np.iinfo(np.uint32).max, np.uint32)
+            for i in range(0, len(x), STEP):
+                part = x[i : i + STEP]
+                out = room[: len(part)]
+                np.multiply.outer(part, a, out=out)
+                out += b
+                np.minimum(least, out.min(axis=0), out=least)
+            return least.astype(np.uint64)
 
         def one(text):
             s = H.shingles(text, spec.k)
             if not len(s):
                 return 0, 0, 0, None, None
-            least = np.full(spec.minima, np.iinfo(np.uint64).max, np.uint64)
             with np.errstate(over="ignore"):
-                for i in range(0, len(s), 1024):
-                    least = np.minimum(least, (np.multiply.outer(s[i : i + 1024], a) + b).min(axis=0))
-                least >>= np.uint64(24)
+                least = minima(s)
                 rows = H.mix(least).reshape(spec.bands, spec.rows)
                 keys = band + np.uint64(1)
                 for r in range(spec.rows):
                     keys = H.mix(keys * H.GOLDEN + rows[:, r])
-                f1, f2 = H.mix(s).sum(dtype=np.uint64), H.mix(s ^ H.GOLDEN).sum(dtype=np.uint64)
-            return len(s), int(f1.view(np.int64)), int(f2.view(np.int64)), H.signed(keys), H.mix(least).astype(np.uint8).tobytes()
+                f1, f2 = s.sum(dtype=np.uint64), H.mix(s).sum(dtype=np.uint64)
+            return len(s), int(f1.view(np.int64)), int(f2.view(np.int64)), H.signed(keys), rows.reshape(-1).astype(np.uint8).tobytes()
 
         for batch in batches:
             ids, out = batch.column("doc_id"), [one(t) for t in H.texts(batch.column("text"))]
@@ -234,9 +247,8 @@ def linker(spec: Spec):
     return link
 
 
-def verified(pairs: DataFrame, docs: DataFrame, spec: Spec, tables: Staging) -> DataFrame:
-    """The pairs (a, b) that are links by their whole texts."""
-    pairs = tables.put(pairs.where("a <> b").distinct(), "pairs")
+def verified(pairs: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
+    """The pairs (a, b), a staged table, that are links by their whole texts."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     one = thinned(docs.where("doc_id IS NOT NULL"), ids)
     with_b = pairs.join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -264,7 +276,9 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     # first pass: every member with the least of its bucket
     shared = tables.put(members.join(buckets, "key"), "shared")
     star = shared.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    links = tables.put(verified(star, docs, spec, tables), "links")
+    pairs = tables.put(star.where("a <> b").distinct(), "pairs")
+    links = tables.put(verified(pairs, docs, spec), "links")
+    tables.drop(pairs)
     first = tables.put(components(links, tables), "first")
     # second pass: buckets with several components, in blocks
     owned = tables.put(
@@ -295,8 +309,7 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     )
     texts = thinned(docs.where("doc_id IS NOT NULL"), alike.select("doc_id").distinct())
     more = tables.put(in_cells(alike.join(texts, "doc_id")).mapInArrow(linker(spec), "a long, b long").distinct(), "more")
-    tables.drop(alike)
-    tables.drop(shared, owned, mixed)
+    tables.drop(alike, shared, owned, mixed, reps)
     # doc_ids of one class that are not its least, where a doc_id has several texts
     again = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     final = tables.put(components(again.unionByName(_same_id(signed, classes, shape)), tables), "final")

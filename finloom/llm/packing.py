@@ -123,12 +123,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
         "doc_id",
         F.size(words(F.col("text"))).cast("long").alias("n"),
         F.col("source").cast("string").alias("source"),
-        (F.col(cluster).cast("long") if cluster else equal).alias("cluster"),
+        (F.col(cluster).cast("long") if cluster else equal if clusters is None else F.lit(None).cast("long")).alias("cluster"),
         F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(shards)).cast("long").alias("shard"),
         *([key_of().alias("key")] if clusters is not None else []),
     )
     if clusters is not None:
-        near = F.when(F.col("n") > 0, F.coalesce("near", "cluster"))
+        near = F.when(F.col("n") > 0, F.col("near"))
         sized = sized.join(clusters, "key", "left").select("doc_id", "n", "source", near.alias("cluster"), "shard")
     return sized.repartition("shard").sortWithinPartitions("shard").mapInArrow(packer(capacity), PACKED)
 

@@ -3,19 +3,23 @@
 Three fixed patterns (assigned values, access keys, long hexadecimal runs) give
 the base spans.  The method looks at every further run of 20 or more characters
 ``[A-Za-z0-9+/_=-]``: its encoding is inferred from its characters (decimal, hex,
-base32, base36, base62, base64; letters of one case only are words and in none), and
-a battery tests it for randomness:
+letters of one case, base32, base36, base62, base64), and a battery tests it for
+randomness:
 
-* chi-squared uniformity over the alphabet (Wilson-Hilferty normal score),
+* chi-squared uniformity over the alphabet,
 * the number of runs above and below the middle of the alphabet,
 * the lag-1 serial correlation of the symbols.
 
-A candidate that fails a test at ``reject`` is ordered text, not a secret.  For the
-rest, the likelihood ratio of the uniform source against ordinary prose bounds the
-chance that prose looks like this: by Markov's inequality at most exp(-ratio),
-which falls with the length by itself.  Benjamini-Hochberg over the document's
-candidates, weighted by their length, then holds the false discovery rate at
-``alpha``.  Method spans that overlap base spans are dropped; base spans stay.
+Each test is made twice.  Against randomness: a candidate that fails one of them by
+``REJECT`` standard deviations is ordered text, not a secret.  Against ordinary text,
+that is symbols as uneven, runs as few and neighbours as alike as ENCODINGS, TURNS
+and SERIAL say at least: the chance that such text looks as random as the candidate falls
+with the length by itself.  The chances of the three tests are combined by Fisher's
+method, and the result is never less than that of uniformity alone.  Benjamini-Hochberg
+over the document's candidates, weighted by their length, then holds the false
+discovery rate at ``ALPHA``.  Short tokens of small alphabets can't be told apart: 24
+decimal digits or 20 letters of one case are left to the base patterns.  Method spans
+that overlap base spans are dropped; base spans stay.
 
 No shuffle and no Python; positions are prefix sums of the pieces between matches.
 
@@ -25,6 +29,8 @@ each scanned; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,26 +49,25 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-ALPHA, REJECT = 0.001, 4.5
+ALPHA, REJECT = 0.01, 4.0
+#: Ordinary text: most turns between the halves of the alphabet, least serial correlation; for its unevenness see ENCODINGS.
+TURNS, SERIAL = 0.25, 0.3
 
-#: Encodings from the narrowest: name, pattern, symbols in order of value.
+#: Encodings from the narrowest: name, pattern, symbols in order of value, and the least
+#: chance that two symbols of ordinary text in it are equal.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
-    ("decimal", "^[0-9]+$", DIGITS),
-    ("hex", "^[0-9a-f]+$", DIGITS + "abcdef"),
-    ("HEX", "^[0-9A-F]+$", DIGITS + "ABCDEF"),
-    ("base32", "^[A-Z2-7]+=*$", UPPER + "234567"),
-    ("base36", "^[0-9a-z]+$", DIGITS + LOWER),
-    ("BASE36", "^[0-9A-Z]+$", DIGITS + UPPER),
-    ("base62", "^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
-    ("base64", "^", UPPER + LOWER + DIGITS + "+/-_"),
+    ("decimal", "^[0-9]+$", DIGITS, 0.15),
+    ("hex", "^[0-9a-f]+$", DIGITS + "abcdef", 0.125),
+    ("HEX", "^[0-9A-F]+$", DIGITS + "ABCDEF", 0.125),
+    ("lower", "^[a-z]+$", LOWER, 0.06),
+    ("UPPER", "^[A-Z]+$", UPPER, 0.06),
+    ("base32", "^[A-Z2-7]+=*$", UPPER + "234567", 0.06),
+    ("base36", "^[0-9a-z]+$", DIGITS + LOWER, 0.06),
+    ("BASE36", "^[0-9A-Z]+$", DIGITS + UPPER, 0.06),
+    ("base62", "^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER, 0.06),
+    ("base64", "^", UPPER + LOWER + DIGITS + "+/-_", 0.06),
 )
-#: Letters of one case and marks: words, however long.
-LETTERS = "^[A-Z]?[a-z+/_=-]+$|^[A-Z+/_=-]+$"
-#: Per mille of each character class in ordinary running text.
-PROSE = {"lower": 900.0, "upper": 50.0, "digit": 20.0, "mark": 30.0}
-#: Letters from the most to the least frequent; shares follow their rank.
-BY_FREQUENCY = "etaoinshrdlcumwfgypbvkjxqz"
 
 
 def spans_of(text: Column, pattern: str, kind: str, fits=None) -> Column:
@@ -90,73 +95,63 @@ def spans_of(text: Column, pattern: str, kind: str, fits=None) -> Column:
 
 
 def _inferred(token: Column) -> Column:
-    """The symbols of the narrowest encoding that holds the token; null for words, which are in none."""
-    c = F.when(F.rlike(token, F.lit(LETTERS)), F.lit(None).cast("string"))
-    for _, pattern, symbols in ENCODINGS:
-        c = c.when(F.rlike(token, F.lit(pattern)), F.lit(symbols))
-    return c
-
-
-def _surprise(ch: Column) -> Column:
-    """log of the probability of a character in prose."""
-    weight = sum(1.0 / (i + 2) for i in range(26))
-    at = F.instr(F.lit(BY_FREQUENCY), F.lower(ch))
-    share = lambda total: F.log(total / 1000.0 / weight / (at + 1.0))
-    return (
-        F.when((at > 0) & (ch == F.lower(ch)), share(PROSE["lower"]))
-        .when(at > 0, share(PROSE["upper"]))
-        .when(ch.between("0", "9"), F.log(F.lit(PROSE["digit"] / 10000.0)))
-        .otherwise(F.log(F.lit(PROSE["mark"] / 5000.0)))
-    )
+    """struct(symbols, match) of the narrowest encoding that holds the token."""
+    said = [(F.rlike(token, F.lit(p)), F.struct(F.lit(symbols).alias("symbols"), F.lit(match).alias("match"))) for _, p, symbols, match in ENCODINGS]
+    return reduce(lambda c, x: c.when(*x), said[1:], F.when(*said[0]))
+
+
+def _below(z: Column) -> Column:
+    """Chance of a normal score of at most z, by a logistic curve with a cubic term."""
+    return 1.0 / (1.0 + F.exp(-F.greatest(F.least(1.5976 * z + 0.07056 * z * z * z, F.lit(300.0)), F.lit(-300.0))))
 
 
 def evidence(token: Column) -> Column:
-    """struct(z, llr): the worst test score against randomness, and the likelihood ratio against prose."""
+    """struct(z, p): the worst score against randomness, and the chance that ordinary text looks so random."""
 
     def body(x: Column) -> Column:
-        chars, k = x["chars"], x["k"].cast("double")
-        n = F.size(chars).cast("double")
-        vals = x["vals"]
+        vals, k = x["vals"], x["k"].cast("double")
+        n = F.size(vals).cast("double")
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
 
         def tested(s: Column) -> Column:
             counts = F.transform(F.array_distinct(vals), lambda v: F.size(F.filter(vals, lambda y: y == v)).cast("double"))
-            chi = total(F.transform(counts, lambda c: c * c)) * k / n - n
-            df = k - 1.0
-            z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1.0 / 3)) - (1.0 - 2.0 / (9.0 * df))) / F.sqrt(2.0 / (9.0 * df))
             above = F.transform(vals, lambda v: (2 * v >= k).cast("int"))
-            runs = F.size(F.filter(above, lambda a, i: (i == 0) | (a != F.get(above, i - 1)))).cast("double")
-            z_runs = (runs - (n + 1.0) / 2.0) / F.sqrt((n - 1.0) / 4.0)
+            turns = F.size(F.filter(above, lambda a, i: (i > 0) & (a != F.get(above, i - 1)))).cast("double")
             mean = s / n
             var = total(F.transform(vals, lambda v: (v - mean) * (v - mean)))
             lag = total(F.transform(vals, lambda v, i: F.coalesce((v - mean) * (F.get(vals, i + 1) - mean), F.lit(0.0))))
-            z_serial = F.when(var > 0, lag / var * F.sqrt(n)).otherwise(F.lit(99.0))
-            llr = total(F.transform(chars, lambda c: -F.log(k) - _surprise(c)))
-            return F.struct(F.greatest(z_chi, F.abs(z_runs), F.abs(z_serial)).alias("z"), llr.alias("llr"))
-
-        return let(total(vals), tested)
-
-    def prepared(symbols: Column) -> Column:
-        chars = F.split(F.regexp_replace(token, "=+$", ""), "")
-        return let(
-            chars,
-            lambda cs: F.struct(
-                cs.alias("chars"),
-                F.length(symbols).alias("k"),
-                F.transform(cs, lambda c: (F.instr(symbols, c) - 1).cast("double")).alias("vals"),
-            ),
-        )
+            return F.struct(
+                (total(F.transform(counts, lambda c: c * c)) * k / n - n).alias("chi"), turns.alias("turns"),
+                F.when(var > 0, lag / var).otherwise(F.lit(1.0)).alias("serial"),
+            )
+
+        def judged(t: Column) -> Column:
+            df = k - 1.0
+            z_chi = (F.pow(F.greatest(t["chi"], F.lit(0.0)) / df, F.lit(1.0 / 3)) - (1.0 - 2.0 / (9.0 * df))) / F.sqrt(2.0 / (9.0 * df))
+            z_turns = (t["turns"] - (n - 1.0) / 2.0) / F.sqrt((n - 1.0) / 4.0)
+            uneven = n * (k * x["match"] - 1.0)
+            p_chi = _below((t["chi"] - df - uneven) / F.sqrt(2.0 * (df + 2.0 * uneven)))
+            p_turns = _below(((n - 1.0) * TURNS + 0.5 - t["turns"]) / F.sqrt((n - 1.0) * TURNS * (1.0 - TURNS)))
+            p_serial = _below((F.abs(t["serial"]) - SERIAL) * F.sqrt(n))
+            fisher = let(-F.log(p_chi) - F.log(p_turns) - F.log(p_serial), lambda q: F.exp(-q) * (1.0 + q + q * q / 2.0))
+            return F.struct(F.greatest(z_chi, F.abs(z_turns), F.abs(t["serial"]) * F.sqrt(n)).alias("z"), F.greatest(p_chi, fisher).alias("p"))
+
+        return let(let(total(vals), tested), judged)
+
+    def prepared(found: Column) -> Column:
+        value = lambda c: (F.instr(found["symbols"], c) - 1).cast("double")
+        return F.struct(F.length(found["symbols"]).alias("k"), found["match"].alias("match"), F.transform(F.split(F.regexp_replace(token, "=+$", ""), ""), value).alias("vals"))
 
     return let(let(_inferred(token), prepared), body)
 
 
 def _discovered(spans: Column) -> Column:
-    """Benjamini-Hochberg over the spans that pass the battery, weighted by length."""
+    """Benjamini-Hochberg over all candidates, weighted by length; those that fail the battery have a chance of one."""
 
     def body(ss: Column) -> Column:
         m = F.size(ss).cast("double")
         chars = F.aggregate(ss, F.lit(0.0), lambda a, s: a + (s["end"] - s["start"]).cast("double"))
-        p_of = lambda s: F.exp(-F.least(s["e"]["llr"], F.lit(600.0))) * chars / m / (s["end"] - s["start"])
+        p_of = lambda s: F.when(s["e"]["z"] <= REJECT, s["e"]["p"] * chars / m / (s["end"] - s["start"])).otherwise(1.0)
 
         def kept(ps: Column) -> Column:
             passing = F.filter(F.transform(ps, lambda p, i: F.when(p <= ALPHA * (i + 1) / m, p)), lambda p: p.isNotNull())
@@ -164,8 +159,8 @@ def _discovered(spans: Column) -> Column:
 
         return let(F.sort_array(F.transform(ss, p_of)), kept)
 
-    random = F.filter(F.transform(spans, lambda s: s.withField("e", evidence(s["value"]))), lambda s: s["e"]["z"] <= REJECT)
-    return F.coalesce(F.when(F.size(spans) > 0, let(random, body)), F.array().cast("array<struct<start:bigint,end:bigint,kind:int,value:string,e:struct<z:double,llr:double>>>"))
+    tested = F.transform(spans, lambda s: s.withField("e", evidence(s["value"])))
+    return F.coalesce(F.when(F.size(spans) > 0, let(tested, body)), F.array().cast("array<struct<start:bigint,end:bigint,kind:int,value:string,e:struct<z:double,p:double>>>"))
 
 
 def _bare(spans: Column) -> Column:

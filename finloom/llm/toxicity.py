@@ -1,15 +1,18 @@
 """Operator 9: toxicity by compression distance.
 
-Two zstandard dictionaries of equal size share a stretch of ordinary text; one goes
-on with toxic, the other with ordinary text of the training rows.  Every window of a
-document is compressed with both; where the toxic dictionary makes it shorter, the
-window resembles toxic text.  The thresholds on these differences, and the weights
-of how often they are passed, are calibrated on training rows that the dictionaries
-haven't seen.
-
-The toxic dictionary's text is what sets the toxic training rows apart: the words
-whose distinct contexts (word before, word after), or those of all words with the
-same start, are too many among them: RATIO times those expected, and ``z`` standard deviations.  Contexts count once, so copies of a document don't.
+Two zstandard dictionaries are trained, one on windows of toxic and one on windows of
+ordinary training rows.  Every window of a document is compressed with both; where
+the toxic dictionary makes it shorter, the window resembles toxic text.  The
+thresholds on these differences, and the weights of how often they are passed, are
+calibrated on training rows that the dictionaries haven't seen.
+
+Most of a toxic row is ordinary text, so its training windows are those that set the
+toxic rows apart: around words whose distinct contexts (word before, word after), or
+those of all words with the same start, are too many among them, RATIO times those
+expected and ``z`` standard deviations.  Contexts count once, so copies of a document
+don't.  The ordinary windows are as many, around words drawn from ordinary rows.
+Both dictionaries are loaded as content after one stretch of ordinary text, which
+both know alike, so that ordinary windows differ little.
 
 Fitting is bounded: about ``per_class`` rows of each class, of ``max_chars`` each.
 Scoring reads every whole text in one pass without shuffle.
@@ -23,6 +26,7 @@ are ignored.
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,8 +37,10 @@ from pyspark.sql import functions as F
 from finloom.llm import fitting
 from finloom.llm.common import read
 
-WINDOW, STRIDE, DICTIONARY, SHARED = 48, 24, 12288, 16384
-PER_CLASS, MAX_CHARS, Z = 2000, 65536, 4.0
+WINDOW, STRIDE, DICTIONARY, SHARED = 48, 24, 8192, 16384
+#: Segment and pattern length of the dictionary trainer.
+SEGMENT, PATTERN = 16, 6
+PER_CLASS, MAX_CHARS, Z = 2000, 65536, 3.0
 STARTS, RATIO = (5, 6), 4
 HELD_OUT, THRESHOLD = 5, 0.5
 
@@ -57,9 +63,9 @@ class Model:
                 d.append(len(plain(w)) - len(toxic(w)))
             d = np.array(d)
             root = len(d) ** 0.5
-            passed = [(d >= k).sum() / root for k in range(4, 9)]
-            out.append([d.max(), min(d.max(), 8), math.log(len(d)), *passed, np.maximum(d - 3, 0).sum() / len(d), (d >= 7).sum()])
-        return np.array(out, float).reshape(len(out), 10)
+            passed = [(d >= k).sum() / root for k in range(3, 9)]
+            out.append([d.max(), min(d.max(), 8), math.log(len(d)), *passed, np.maximum(d - 3, 0).sum() / len(d), (d >= 7).sum(), d.mean()])
+        return np.array(out, float).reshape(len(out), 12)
 
     def scores(self, texts) -> np.ndarray:
         if self.weights is None:
@@ -68,7 +74,7 @@ class Model:
 
 
 def _lengths(content: bytes):
-    """The compressor of a raw-content dictionary; matches have six bytes or more."""
+    """The compressor of a dictionary's content; matches have six bytes or more."""
     import zstandard as zs
 
     params = zs.ZstdCompressionParameters(
@@ -93,15 +99,38 @@ def _forms(word: bytes) -> list[bytes]:
     return [word, *(word[:k] + b"*" for k in STARTS if k < len(word))]
 
 
-def _content(words, size: int) -> bytes:
-    """The words, the first of them at the end, where references are cheapest."""
-    chosen, n = [], 1
-    for w in words:
-        if n + len(w) + 1 > size:
-            break
-        chosen.append(w)
-        n += len(w) + 1
-    return b" " + b"".join(w + b" " for w in reversed(chosen))
+def _windows(texts, words) -> list[bytes]:
+    """The places of ``words`` in the texts, each with the character before and after it."""
+    out = []
+    for text in texts:
+        t, at = b" " + text.lower() + b" ", 0
+        for w in t.split():
+            at = t.find(w, at)
+            if w in words:
+                out.append(t[at - 1 : at + len(w) + 1])
+            at += len(w)
+    return out
+
+
+def _drawn(texts, n: int) -> list[bytes]:
+    """n words of the texts with the characters around them; texts and places are drawn evenly."""
+    rng, out = random.Random(3), []
+    for _ in range(n):
+        t = b" " + rng.choice(texts).lower() + b" "
+        a = t.find(b" ", rng.randrange(len(t))) % len(t)
+        z = t.find(b" ", a + 1)
+        out.append(t[a : z + 1] if z > a else t[:SEGMENT])
+    return out
+
+
+def _dictionary(windows: list[bytes], size: int) -> bytes:
+    """A trained zstandard dictionary; the windows themselves where they are too few to train on."""
+    import zstandard as zs
+
+    try:
+        return zs.train_dictionary(size, windows, k=SEGMENT, d=PATTERN).as_bytes()
+    except zs.ZstdError:
+        return b"".join(sorted(set(windows)))[-size:]
 
 
 def fit(texts: list[bytes], y: np.ndarray, z: float = Z) -> Model:
@@ -119,11 +148,13 @@ def fit(texts: list[bytes], y: np.ndarray, z: float = Z) -> Model:
 
     found = {w for x in toxic[:cut_t] for w in x.lower().split() if len(w) > 2}
     ranked = sorted(((max(map(excess, _forms(w))), w) for w in found), key=lambda x: (-x[0], x[1]))
-    strong = [w for s, w in ranked if s >= z] or [w for s, w in ranked[:32] if s > 0]
-    usual = [w for w, _ in sorted(p.items(), key=lambda x: (-x[1], x[0])) if len(w) > 2]
+    strong = {w for s, w in ranked if s >= z} or {w for s, w in ranked[:32] if s > 0}
+    marked = _windows(toxic[:cut_t], strong)
+    usual = _drawn(plain[:cut_p], len(marked))
+    bad, good = _dictionary(marked, DICTIONARY), _dictionary(usual, DICTIONARY)
+    n = min(len(bad), len(good))
     shared = b" ".join(x[:400].lower() for x in plain[:64])[:SHARED]
-    marked = _content(strong, DICTIONARY)
-    model = Model(shared + _content(usual, len(marked)).ljust(len(marked)), shared + marked, None)
+    model = Model(shared + good[-n:], shared + bad[-n:], None)
     held, label = toxic[cut_t:] + plain[cut_p:], [1] * (len(toxic) - cut_t) + [0] * (len(plain) - cut_p)
     if len(set(label)) < 2:
         held, label = toxic + plain, [1] * len(toxic) + [0] * len(plain)

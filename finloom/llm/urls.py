@@ -5,6 +5,9 @@ hosts of allowed pages and follows links (personalised PageRank); distrust start
 at hosts of blocked pages and follows links backwards.  A host is blocked if more
 distrust than trust reaches it through links, and at least ``least`` of the mean
 per host.  What a seed has by itself doesn't count: its rules have judged it.
+Links without a scheme (``//host/path``) count; relative ones stay on their host.  What
+hosts without links onwards hold isn't handed on: their share leaves the walk, for
+trust and distrust alike.
 
 Scores live in tables of one row per host in the shared folder; each of the
 ``rounds`` is one join on host pairs and one sum by host with partial sums first.
@@ -25,7 +28,7 @@ from finloom.llm.common import LOWER, UPPER, Staging, ascii_lower, read
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING, ROUNDS, LEAST = 0.85, 10, 0.01
-LINK = r"""(?i)href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+LINK = r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 def _rest(url: Column) -> Column:
@@ -61,7 +64,7 @@ def host_links(pages: DataFrame) -> DataFrame:
     """src, dst, w: links between different hosts, counted."""
     links = pages.select(
         host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("to")
-    ).select("src", host_of(F.col("to")).alias("dst"))
+    ).select("src", host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).otherwise(F.col("to"))).alias("dst"))
     return links.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
@@ -135,13 +138,14 @@ WITH RECURSIVE p AS (
 ), r AS (
   SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, html, {_rules_sql()[0]} AS rule, {_rules_sql()[1]} AS said FROM p
 ), l AS (
-  SELECT host AS src, {_host_sql("link")} AS dst
-  FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?([a-z][a-z0-9+.-]*://[^"''\\s>]+)', 1)) AS link FROM r)
+  SELECT src, {_host_sql("link")} AS dst
+  FROM (SELECT src, CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END AS link FROM (
+    SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\\s>]+)', 1)) AS link FROM r))
 ), e AS (
   SELECT src, dst, count(*) AS w FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL
 ), s AS (
-  SELECT src AS host, dst AS hop, w / sum(w) OVER (PARTITION BY src) AS t, 0.0 AS b FROM e
-  UNION ALL SELECT dst, src, 0.0, w / sum(w) OVER (PARTITION BY dst) FROM e
+  SELECT src AS host, dst AS hop, w / sum(w) OVER (PARTITION BY src) AS t, 0::DOUBLE AS b FROM e
+  UNION ALL SELECT dst, src, 0::DOUBLE, w / sum(w) OVER (PARTITION BY dst) FROM e
 ), n AS (
   SELECT h.host, coalesce(count(*) FILTER (said = 'allow'), 0) AS t, coalesce(count(*) FILTER (said = 'block'), 0) AS b
   FROM (SELECT DISTINCT host FROM s) h LEFT JOIN r USING (host) GROUP BY h.host
