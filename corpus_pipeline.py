@@ -2,10 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet to the shared folder and reread as the next stage's docs.  All but the last
-return the columns of ``documents``.
+return the columns of ``documents``; other columns are ignored.
 
-Documents with a null doc_id take part in every stage: they have no duplicates and no
-benchmark items, so that only the quality rules can remove them.
+Defined cases: documents with a null doc_id take part in every stage: they have no
+duplicates and no benchmark items, so that only the quality rules can remove them.
+Null and empty texts break a quality rule and go.  Of rows that share a doc_id, near-dedup
+keeps the one of least (text, lang, source, n_chars), nulls first.  Equal texts are
+near copies, whose least doc_id stays.  An empty table gives an empty result of every stage.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finloom.llm import decontaminate, neardup, packing, quality, secrets
-from finloom.llm.common import Staging, read
+from finloom.llm.common import Staging, read, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,15 +28,25 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4, five words and 80 %: the least doc_id of every group stays."""
-    copies = neardup.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """Operator 4, five words and 80 %: the least doc_id of every group stays, in one row."""
+    docs = docs.select(*COLUMNS)
+    tables = Staging(spark, "distinct")
+    judged = neardup.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    touched = tables.put(judged.where("NOT kept OR n > 1"), "touched")
+    left = without(docs, touched.where("NOT kept").select("doc_id"))
+    again = touched.where("kept").select("doc_id")
+    if again.isEmpty():
+        return left
+    rest = ["text", "lang", "source", "n_chars"]
+    once = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+    return without(left, again).unionByName(once.select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that hold a benchmark item go."""
-    leaks = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return without(docs, Staging(spark, "leaks").put(found.select("doc_id").distinct(), "ids"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,6 +77,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     tables = Staging(spark, "pipeline")
     for name, stage in STAGES:
+        opened = len(Staging.live)
         before, docs = docs, tables.put(stage(spark, docs, sf_dir), name)
+        for used in Staging.live[opened:]:
+            used.clear()
+        del Staging.live[opened:]
         tables.drop(before)
     return docs
