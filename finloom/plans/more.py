@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from finloom.functions import text
 from finloom.operators import balance as B
 from finloom.operators import classify as C
-from finloom.operators import closure
 from finloom.sources import tables as S
 
 
@@ -68,14 +67,6 @@ def clean_description(spark, d):
     return t.select("row_ord", text.collapsed_repeats(text.without_references(noisy)).alias("cleaned"))
 
 
-def entity_merge_closure(spark, d):
-    """Names linked by a shared merge key or a shared leading token, closed transitively."""
-    names = S.ledger(spark, d).select(text.repaired_suffix(F.col("counterparty")).alias("name")).distinct()
-    lead = names.withColumn("k", F.split("name", " ")[0])
-    links = lead.alias("a").join(lead.alias("b"), "k").select(F.col("a.name").alias("a"), F.col("b.name").alias("b"))
-    return closure.least_labels(links)
-
-
 def markdown_table_detect(spark, d):
     """Documents with at least two adjoining lines that part cells by bars."""
     f = S.fragments(spark, d).withColumn("row", F.rlike("content", F.lit(r"\S \| \S.* \|")).cast("int"))
@@ -149,7 +140,7 @@ def key_mismatch(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    accounts_summary, data_completeness, parser_grades, purpose_clusters, inter_company_trace, clean_description, entity_merge_closure,
+    accounts_summary, data_completeness, parser_grades, purpose_clusters, inter_company_trace, clean_description,
     markdown_table_detect, repetition_flag, citation_join, account_meta, key_mismatch,
 )}
 
@@ -169,8 +160,6 @@ ORACLES = {
     "purpose_clusters": _TX + f" SELECT {_CL} AS cluster, count(*) AS n_rows, count(*) * 5 >= (SELECT count(*) FROM tx) AS dominant FROM tx GROUP BY 1",
     "inter_company_trace": _TX + r" SELECT row_ord, account, 2 AS hits FROM tx WHERE regexp_matches(upper(description), '\bBINTANG\b') AND regexp_matches(upper(description), '\bJAYA\b')",
     "clean_description": _TX + " SELECT row_ord, upper(array_to_string(list_slice(string_split(description, ' '), 1, 3), ' ')) AS cleaned FROM tx",
-    "entity_merge_closure": r"""WITH n AS (SELECT DISTINCT regexp_replace(upper(counterparty), '\s+(SDN\.?(\s+B(H(D\.?)?)?)?|SB)$', ' SDN BHD') AS name FROM (""" + S.LEDGER_SQL + """) z)
-      SELECT name, min(name) OVER (PARTITION BY split_part(name, ' ', 1)) AS root FROM n""",
     "markdown_table_detect": _FR + r" SELECT doc_id, count(*) FILTER (regexp_matches(content, '\S \| \S.* \|')) AS table_lines, count(*) AS n_lines FROM fr GROUP BY doc_id HAVING count(*) FILTER (regexp_matches(content, '\S \| \S.* \|')) > 0",
     "citation_join": _FR + """ SELECT a.doc_id, a.reading_order AS cited_by, a.reading_order - 4 AS ref, b.page, b.kind FROM fr a
       LEFT JOIN fr b ON b.doc_id = a.doc_id AND b.reading_order = a.reading_order - 4 AND b.page % 2 = 1 WHERE a.reading_order % 7 = 4""",
