@@ -69,21 +69,61 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
+CELL = 16
+
+
+def _cells(boxes: DataFrame) -> DataFrame:
+    """A row for every cell of a square grid that a box touches."""
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / CELL), F.floor(F.col(hi) / CELL))
+    return boxes.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
+
+
 def overlap_pairs(boxes: DataFrame, least: float) -> DataFrame:
-    """Pairs of boxes on one page whose intersection is ``least`` of their union; the join is by page."""
-    a, b = boxes.alias("a"), boxes.alias("b")
-    side = lambda lo, hi: F.greatest(F.least(f"a.{hi}", f"b.{hi}") - F.greatest(f"a.{lo}", f"b.{lo}"), F.lit(0))
+    """Pairs of boxes on one page whose intersection is ``least`` of their union.
+
+    Boxes meet in the cells of a grid; a pair counts only in the cell of its intersection's least corner.
+    """
+    a, b = _cells(boxes).alias("a"), _cells(boxes).alias("b")
+    low = lambda c: F.greatest(f"a.{c}", f"b.{c}")
+    side = lambda lo, hi: F.greatest(F.least(f"a.{hi}", f"b.{hi}") - low(lo), F.lit(0))
     area = lambda t: (F.col(f"{t}.x2") - F.col(f"{t}.x1")) * (F.col(f"{t}.y2") - F.col(f"{t}.y1"))
-    met = a.join(b, (F.col("a.page") == F.col("b.page")) & (F.col("a.box") < F.col("b.box")))
+    here = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("page", "cx", "cy")]
+    met = a.join(b, here).where(
+        (F.col("a.box") < F.col("b.box")) & (F.floor(low("x1") / CELL) == F.col("a.cx")) & (F.floor(low("y1") / CELL) == F.col("a.cy"))
+    )
     both = side("x1", "x2") * side("y1", "y2")
     out = met.select(F.col("a.page").alias("page"), F.col("a.box").alias("a"), F.col("b.box").alias("b"), both.alias("shared"), (area("a") + area("b") - both).alias("joint"))
     return out.where((F.col("joint") > 0) & (F.col("shared") * 1000 > F.col("joint") * int(least * 1000)))
 
 
+def containment(boxes: DataFrame, least: float = 0.9) -> DataFrame:
+    """Pairs (inner, outer) of boxes on one page of which ``least`` of the inner one's area lies in the outer one."""
+    a, b = _cells(boxes).alias("a"), _cells(boxes).alias("b")
+    low = lambda c: F.greatest(f"a.{c}", f"b.{c}")
+    side = lambda lo, hi: F.greatest(F.least(f"a.{hi}", f"b.{hi}") - low(lo), F.lit(0))
+    own = (F.col("a.x2") - F.col("a.x1")) * (F.col("a.y2") - F.col("a.y1"))
+    here = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("page", "cx", "cy")]
+    met = a.join(b, here).where(
+        (F.col("a.box") != F.col("b.box")) & (F.floor(low("x1") / CELL) == F.col("a.cx")) & (F.floor(low("y1") / CELL) == F.col("a.cy")) & (own > 0)
+    )
+    return met.where(side("x1", "x2") * side("y1", "y2") * 100 >= own * int(least * 100)).select(F.col("a.page").alias("page"), F.col("a.box").alias("inner"), F.col("b.box").alias("outer"))
+
+
 def nearest_label(boxes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every box with the label of its page that is nearest, by distance of centres, ties by label."""
-    twice = lambda t, lo, hi: F.col(f"{t}.{lo}") + F.col(f"{t}.{hi}")
-    a, b = boxes.alias("a"), labels.alias("b")
-    dx, dy = twice("a", "x1", "x2") - twice("b", "x1", "x2"), twice("a", "y1", "y2") - twice("b", "y1", "y2")
-    met = a.join(b, "page").select("page", F.col("a.box").alias("box"), F.col("b.box").alias("label"), (dx * dx + dy * dy).alias("distance"))
-    return met.groupBy("page", "box").agg(F.min(F.struct("distance", "label")).alias("m")).select("page", "box", "m.distance", "m.label")
+    """Every box with the label of its page that is nearest, by distance of centres, ties by label.
+
+    Labels of the cells around a box's centre come first; their best is right if it is
+    no farther than a cell.  Only boxes without such a label look at the whole page.
+    """
+    centred = lambda t: t.withColumn("mx", F.col("x1") + F.col("x2")).withColumn("my", F.col("y1") + F.col("y2"))
+    size = 2 * CELL  # centres are doubled
+    near = lambda c: F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.floor(F.col(c) / size) + k))
+    a = centred(boxes).select("page", "box", "mx", "my")
+    b = centred(labels).select("page", F.col("box").alias("label"), F.col("mx").alias("lx"), F.col("my").alias("ly"))
+    gap = (F.col("mx") - F.col("lx")) * (F.col("mx") - F.col("lx")) + (F.col("my") - F.col("ly")) * (F.col("my") - F.col("ly"))
+    best = lambda met: met.groupBy("page", "box", "mx", "my").agg(F.min(F.struct(gap.alias("distance"), "label")).alias("m"))
+    around = a.withColumn("cx", near("mx")).withColumn("cy", near("my"))
+    placed = b.withColumn("cx", F.floor(F.col("lx") / size)).withColumn("cy", F.floor(F.col("ly") / size))
+    close = best(around.join(placed, ["page", "cx", "cy"])).where(F.col("m.distance") <= size * size)
+    far = best(a.join(close, ["page", "box"], "left_anti").join(b, "page"))
+    return close.unionByName(far).select("page", "box", "m.distance", "m.label")

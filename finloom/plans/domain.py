@@ -177,7 +177,7 @@ def html_to_text(spark, d):
     return S.table(spark, d, "pages").select("page_id", F.sha2(D.html_text(F.col("html")), 256).alias("sha256"))
 
 
-BOXES = "SELECT p_partkey AS box, p_partkey % 40 AS page, p_size AS x1, p_partkey % 50 AS y1, p_size + 10 + p_partkey % 7 AS x2, p_partkey % 50 + 12 + p_size % 5 AS y2 FROM part"
+BOXES = "SELECT p_partkey AS box, CAST(floor(p_partkey / 100) AS BIGINT) AS page, p_size AS x1, p_partkey % 50 AS y1, p_size + 10 + p_partkey % 7 AS x2, p_partkey % 50 + 12 + p_size % 5 AS y2 FROM part"
 
 
 def _boxes(spark, d):
@@ -188,6 +188,10 @@ def iou_join(spark, d):
     return D.overlap_pairs(_boxes(spark, d), 0.7)
 
 
+def box_containment(spark, d):
+    return D.containment(_boxes(spark, d))
+
+
 def nearest_label(spark, d):
     b = _boxes(spark, d)
     return D.nearest_label(b.where("box % 3 <> 0"), b.where("box % 3 = 0"))
@@ -197,7 +201,7 @@ QUERIES = {f.__name__: f for f in (
     ledger_groupby, party_month_breakdown, top_payers, top_payees, rp_signals, rp_autoconfirm, ghost_anti_join, suffix_repair, entity_merge_key,
     own_party_root, lookup_join_last_wins, return_pair_candidates, return_pairs_greedy, unkeyworded_pairs, business_days, money_parse, date_parse,
     fin_pnl_chain, fin_identities, fin_ratios, fin_days, fin_dscr, fin_equity_lag, fin_missing_periods, fin_drift, chunk_page, chunk_section,
-    chunk_patterns, table_row_split, adjacent_page_join, page_class_lists, header_hierarchy, html_to_text, iou_join, nearest_label,
+    chunk_patterns, table_row_split, adjacent_page_join, page_class_lists, header_hierarchy, html_to_text, iou_join, box_containment, nearest_label,
 )}
 
 _REPAIR = r"regexp_replace(upper(trim(regexp_replace(counterparty, '\s+', ' ', 'g'))), '\s+(SDN\.?(\s+B(H(D\.?)?)?)?|SB)$', ' SDN BHD')"
@@ -290,6 +294,8 @@ ORACLES = {
     "iou_join": f"""WITH x AS ({BOXES}), j AS (SELECT a.page, a.box AS a, b.box AS b, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS shared,
         (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS areas FROM x a JOIN x b ON a.page = b.page AND a.box < b.box)
       SELECT page, a, b, shared, areas - shared AS joint FROM j WHERE areas - shared > 0 AND shared * 1000 > (areas - shared) * 700""",
+    "box_containment": f"""WITH x AS ({BOXES}) SELECT a.page, a.box AS "inner", b.box AS "outer" FROM x a JOIN x b ON a.page = b.page AND a.box <> b.box
+      WHERE greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) * 100 >= (a.x2 - a.x1) * (a.y2 - a.y1) * 90""",
     "nearest_label": f"""WITH x AS ({BOXES}), j AS (SELECT a.page, a.box, b.box AS label, (a.x1 + a.x2 - b.x1 - b.x2) ** 2 + (a.y1 + a.y2 - b.y1 - b.y2) ** 2 AS dist
         FROM x a JOIN x b ON a.page = b.page WHERE a.box % 3 <> 0 AND b.box % 3 = 0)
       SELECT page, box, CAST(dist AS BIGINT) AS distance, label FROM j QUALIFY row_number() OVER (PARTITION BY page, box ORDER BY dist, label) = 1""",

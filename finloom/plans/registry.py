@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from finloom.plans import balances, canonical, classification, domain, entities, files, integrity, more
+from finloom.plans import balances, banks, canonical, checks, classification, domain, entities, files, integrity, more, tables
 
-AREAS = (balances, canonical, classification, domain, entities, files, integrity, more)
+AREAS = (balances, banks, canonical, checks, classification, domain, entities, files, integrity, more, tables)
 QUERIES = {name: query for area in AREAS for name, query in area.QUERIES.items()}
 ORACLES = {name: sql for area in AREAS for name, sql in area.ORACLES.items()}
