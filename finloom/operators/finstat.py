@@ -50,10 +50,9 @@ def debt_service(chain: DataFrame) -> DataFrame:
 
 
 def equity_articulation(chain: DataFrame) -> DataFrame:
-    """Retained earnings rolled forward against those of the period before."""
+    """Shown ``retained`` earnings against those shown for the period before, plus the period's profit."""
     periods = Window.partitionBy("entity").orderBy("period")
-    kept = F.sum("npat").over(periods)
-    rolled = chain.withColumn("retained", kept).withColumn("opening", F.lag("retained").over(periods))
+    rolled = chain.withColumn("opening", F.lag("retained").over(periods))
     return rolled.where("opening IS NOT NULL").select(
         "entity", "period", "opening", "npat", "retained", compared(F.col("opening") + F.col("npat"), F.col("retained")).alias("status")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from finloom.functions import dates, money, text
@@ -56,8 +57,6 @@ def own_party_root(spark, d):
 
 def lookup_join_last_wins(spark, d):
     """Rows left-joined to names by (date, amount, side), null-safe; the last ledger entry of a key wins."""
-    from pyspark.sql import Window
-
     tx = S.ledger(spark, d)
     key = ["date", "credit", "debit"]
     last = Window.partitionBy(*key).orderBy(F.col("row_ord").desc())
@@ -134,7 +133,9 @@ def fin_dscr(spark, d):
 
 
 def fin_equity_lag(spark, d):
-    return FS.equity_articulation(_chain(spark, d))
+    """Retained earnings are shown as profit so far, now and then with an error."""
+    so_far = F.sum("npat").over(Window.partitionBy("entity").orderBy("period"))
+    return FS.equity_articulation(_chain(spark, d).withColumn("retained", (so_far + F.col("line_count") % 4 * 150).cast("bigint")))
 
 
 def fin_missing_periods(spark, d):
@@ -274,7 +275,7 @@ ORACLES = {
     "fin_ratios": FIG + f" SELECT entity, period, {', '.join(_bp(n, 'revenue') + f' AS {n}_margin' for n in ('gross_profit', 'ebit', 'pbt', 'npat'))}, {_bp('ebit', 'interest')} AS interest_cover FROM c",
     "fin_days": FIG + " SELECT entity, period, CAST(CASE WHEN revenue <> 0 THEN floor(CAST(tax AS DECIMAL(38, 6)) * 365 / revenue) END AS BIGINT) AS debtor_days, CAST(CASE WHEN cost <> 0 THEN floor(CAST(tax AS DECIMAL(38, 6)) * 365 / cost) END AS BIGINT) AS creditor_days FROM f",
     "fin_dscr": FIG + f", p AS (SELECT *, greatest(coalesce(lag(cost) OVER (PARTITION BY entity ORDER BY period) - cost, 0), 0) AS principal FROM c), q AS (SELECT *, interest + principal AS service FROM p) SELECT entity, period, principal, service, {_bp('ebit', 'service')} AS dscr FROM q",
-    "fin_equity_lag": FIG + ", r AS (SELECT *, CAST(sum(npat) OVER (PARTITION BY entity ORDER BY period) AS BIGINT) AS retained FROM c), l AS (SELECT *, lag(retained) OVER (PARTITION BY entity ORDER BY period) AS opening FROM r) SELECT entity, period, opening, npat, retained, CASE WHEN abs(opening + npat - retained) <= 200 THEN 'OK' ELSE 'DIFFERS' END AS status FROM l WHERE opening IS NOT NULL",
+    "fin_equity_lag": FIG + ", r AS (SELECT *, CAST(sum(npat) OVER (PARTITION BY entity ORDER BY period) + line_count % 4 * 150 AS BIGINT) AS retained FROM c), l AS (SELECT *, lag(retained) OVER (PARTITION BY entity ORDER BY period) AS opening FROM r) SELECT entity, period, opening, npat, retained, CASE WHEN abs(opening + npat - retained) <= 200 THEN 'OK' ELSE 'DIFFERS' END AS status FROM l WHERE opening IS NOT NULL",
     "fin_missing_periods": FIG + ", g AS (SELECT entity, period FROM f) SELECT e.entity, p.period FROM (SELECT DISTINCT entity FROM g) e, (SELECT DISTINCT period FROM g) p EXCEPT SELECT entity, period FROM g",
     "fin_drift": FIG + f", b AS (SELECT *, lag(revenue) OVER (PARTITION BY entity ORDER BY period) AS before FROM f) SELECT entity, period, revenue, before, {_bp('(revenue - before)', 'before')} AS change FROM b",
     "chunk_page": FRAG + " SELECT doc_id, page, sha256(string_agg(content, chr(10) ORDER BY reading_order)) AS sha256 FROM fr GROUP BY doc_id, page",
