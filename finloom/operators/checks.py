@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finloom.operators.finstat import TOLERANCE, compared, ratio_bp
+from finloom.operators.finstat import TOLERANCE, compared, quotient, ratio_bp
 
 #: Identities of the balance sheet, total = sum of the others.
 IDENTITIES = (
@@ -72,7 +72,7 @@ def ratio_drift(computed: DataFrame, shown: DataFrame, tolerance: int = RATIO_TO
 def turnover_days(sheet: DataFrame) -> DataFrame:
     """Debtor, creditor and inventory days by 365 and by the days that the period has."""
     days = F.when((F.col("period").cast("int") % 4 == 0) & ((F.col("period").cast("int") % 100 != 0) | (F.col("period").cast("int") % 400 == 0)), 366).otherwise(365)
-    of = lambda a, b, n: F.when(F.col(b) != 0, F.floor(F.col(a).cast("decimal(38,0)") * n / F.col(b)).cast("bigint"))
+    of = lambda a, b, n: quotient(F.col(a).cast("decimal(38,0)") * n, F.col(b))
     kinds = (("debtor", "receivables", "revenue"), ("creditor", "payables", "cost"), ("inventory", "inventory", "cost"))
     return sheet.select("entity", "period", *[of(a, b, F.lit(365)).alias(f"{k}_days") for k, a, b in kinds], *[of(a, b, days).alias(f"{k}_days_actual") for k, a, b in kinds])
 

@@ -21,9 +21,16 @@ def compared(recomputed: Column, shown: Column, tolerance: int = TOLERANCE) -> C
     return F.when(recomputed.isNull() | shown.isNull(), "MISSING").when(F.abs(recomputed - shown) <= tolerance, "OK").otherwise("DIFFERS")
 
 
+def quotient(part: Column, whole: Column) -> Column:
+    """part / whole rounded down, exact on integers of any size; null for an empty whole."""
+    sign = F.when(whole < 0, -1).otherwise(1)
+    p, q = (part * sign).cast("decimal(38,0)"), F.nullif((whole * sign).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    return ((p - F.pmod(p, q)) / q).cast("bigint")
+
+
 def ratio_bp(part: Column, whole: Column) -> Column:
     """A ratio in ten-thousandths, rounded down; null for an empty whole."""
-    return F.when(whole != 0, F.floor(part.cast("decimal(38,0)") * 10000 / whole).cast("bigint"))
+    return quotient(part.cast("decimal(38,0)") * 10000, whole)
 
 
 def ratios(chain: DataFrame) -> DataFrame:
@@ -37,7 +44,7 @@ def ratios(chain: DataFrame) -> DataFrame:
 def day_counts(f: DataFrame, days: int = 365) -> DataFrame:
     """Tax payable as days of revenue and cost, as debtor and creditor days are."""
     return f.select("entity", "period", *[
-        F.when(F.col(b) != 0, F.floor(F.col("tax").cast("decimal(38,0)") * days / F.col(b)).cast("bigint")).alias(n) for n, b in (("debtor_days", "revenue"), ("creditor_days", "cost"))
+        quotient(F.col("tax").cast("decimal(38,0)") * days, F.col(b)).alias(n) for n, b in (("debtor_days", "revenue"), ("creditor_days", "cost"))
     ])
 
 

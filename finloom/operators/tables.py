@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from finloom.functions.binding import bound
+
 ROW, CELL = r"(?is)<tr[^>]*>.*?</tr>", r"(?is)<t[dh][^>]*>.*?</t[dh]>"
 SAMPLE, MISMATCH = 5, 0.3
 
@@ -54,24 +56,31 @@ def grid(html: Column) -> Column:
 
 def _typed(rows: Column) -> Column:
     """The type of every column over the rows: text if any cell is, else number if any is, else empty."""
-    width = F.array_max(F.transform(rows, F.size))
-    kinds = F.transform(rows, lambda r: F.transform(r, cell_type))
-    column = lambda i: F.transform(kinds, lambda k: F.get(k, i))
-    said = lambda i: F.when(F.array_contains(column(i), "text"), "text").when(F.array_contains(column(i), "number"), "number").otherwise("empty")
-    return F.when(F.coalesce(width, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), width - 1), said)).otherwise(F.array().cast("array<string>"))
+
+    def said(kinds: Column) -> Column:
+        column = lambda i: F.transform(kinds, lambda k: F.get(k, i))
+        one = lambda i: bound(column(i), lambda c: F.when(F.array_contains(c, "text"), "text").when(F.array_contains(c, "number"), "number").otherwise("empty"))
+        width = F.coalesce(F.array_max(F.transform(kinds, lambda k: F.size(k))), F.lit(0))
+        return F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), one)).otherwise(F.array().cast("array<string>"))
+
+    return bound(F.transform(rows, lambda r: F.transform(r, lambda c: cell_type(c))), said)
 
 
 def column_types(html: Column, rows: int, from_start: bool = True) -> Column:
-    cells = grid(html)
-    return _typed(F.slice(cells, 1, rows) if from_start else F.slice(cells, F.greatest(F.size(cells) - rows, F.lit(0)) + 1, rows))
+    part = lambda cells: F.slice(cells, 1, rows) if from_start else F.slice(cells, F.greatest(F.size(cells) - rows, F.lit(0)) + 1, rows)
+    return bound(grid(html), lambda cells: _typed(part(cells)))
 
 
 def aligned(upper: Column, lower: Column) -> Column:
     """Whether the last rows of one table and the first of the next have alike columns: as many, and at most MISMATCH of other types."""
-    a, b = column_types(upper, SAMPLE, False), column_types(lower, SAMPLE)
-    both = F.zip_with(a, b, lambda x, y: F.struct(((x != "empty") & (y != "empty")).alias("met"), (x != y).alias("differs")))
-    met = F.filter(both, lambda p: p["met"])
-    return (F.size(a) == 0) | (F.size(b) == 0) | ((F.size(a) == F.size(b)) & (F.size(F.filter(met, lambda p: p["differs"])) <= F.size(met) * MISMATCH))
+
+    def compared(t: Column) -> Column:
+        a, b = t["a"], t["b"]
+        both = F.zip_with(a, b, lambda x, y: F.struct(((x != "empty") & (y != "empty")).alias("met"), (x != y).alias("differs")))
+        alike = bound(F.filter(both, lambda p: p["met"]), lambda met: F.size(F.filter(met, lambda p: p["differs"])) <= F.size(met) * MISMATCH)
+        return (F.size(a) == 0) | (F.size(b) == 0) | ((F.size(a) == F.size(b)) & alike)
+
+    return bound(F.struct(column_types(upper, SAMPLE, False).alias("a"), column_types(lower, SAMPLE).alias("b")), compared)
 
 
 def odd_rows(tables: DataFrame) -> DataFrame:
