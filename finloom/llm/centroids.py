@@ -12,8 +12,8 @@ node.  Where one centroid is left, the whole node is assigned at once, its sum t
 from prefix sums; pairs of leaves are compared exactly, in 64-bit integers.  Bounds are
 floats with room for their rounding, so that they never decide a tie.
 
-Every task sums its blocks by centroid before the shuffle; the driver gets ``k`` rows of
-sums a round, and tasks get ``k`` centroids.
+Every task sums its blocks by centroid before the shuffle; the driver gets a sum a
+centroid and component each round, and tasks get ``k`` centroids.
 
 Defined cases: vectors of another length, with null or non-finite components, or with a
 component of 2^19 or more (whose squared distances a long can't hold) have no row; null
@@ -246,9 +246,9 @@ def clusters(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, dim: int = DI
     now = np.array([r.point for r in first], np.int64).reshape(-1, dim)
     blocks = tables.put(kept.mapInArrow(grouper, BLOCKS), "blocks")
     for _ in range(rounds if len(now) else 0):
-        sums = [F.sum(F.col("sums")[i]) for i in range(dim)]
-        for c, n, *s in blocks.mapInArrow(summer(now), SUMS).groupBy("cluster").agg(F.sum("n"), *sums).collect():
-            now[c] = [x // n for x in s]
+        parts = blocks.mapInArrow(summer(now), SUMS).select("cluster", "n", F.posexplode("sums").alias("i", "x"))
+        for c, i, n, x in parts.groupBy("cluster", "i").agg(F.sum("n"), F.sum("x")).collect():
+            now[c, i] = x // n
     if not len(now):
         return kept.select("vec_id", F.lit(0).alias("cluster"), *[F.lit(0).cast("long").alias(c) for c in ("distance", "cluster_inertia", "inertia")], F.lit("").alias("centroid_sha256")).limit(0)
     final = tables.put(blocks.mapInArrow(assigner(now), ASSIGNED), "final")
