@@ -12,10 +12,11 @@
    Candidates inside a longer one that is as frequent go, and the best of each language
    are ranked.
 
-The sketch is as wide as the texts ask for, a cell for ``per_cell`` bytes of text, up to
-2 ** ``most_bits`` cells: 64 MB of bits a row for an executor.  Texts of more than about
-eight times that number of bytes let more phrases through to the exact sums; results
-are the same.  A task sorts ``FLUSH`` hashes at a time, whatever its input is.
+A row of the sketch has 2 ** ``bits`` cells; only cells with counts are kept and sent, so
+a sketch takes the memory of ``FLUSH`` hashes whatever its width is.  An executor holds
+the bits of full cells, 32 MB a row.  Where cells get some fifty phrases each (25 GB of
+text with 2 ** 28), more pass to the exact sums; results are the same.  Tasks get up to
+``per_task`` bytes of text, so that a phrase is sent once a GB, but two tasks a core at least.
 
 Phrases are told apart by 64-bit hashes in a task, and by their words when they are summed.
 
@@ -40,28 +41,23 @@ from finloom.llm.common import LOWER, UPPER, Staging, read
 
 @dataclass(frozen=True)
 class Spec:
-    """Phrases of up to ``longest`` words, seen ``least`` times; ``top`` of a language; a sketch of ``rows`` rows."""
+    """Phrases of up to ``longest`` words, seen ``least`` times; ``top`` of a language; a sketch of ``rows`` rows of 2 ** ``bits`` cells."""
 
     longest: int = 5
     least: int = 100
     top: int = 2000
     inside_pct: int = 100
     rows: int = 2
-    per_cell: int = 16
-    least_bits: int = 16
-    most_bits: int = 29
-
-    def bits(self, size: int) -> int:
-        """Binary logarithm of a row's cells for texts of ``size`` bytes."""
-        return min(self.most_bits, max(self.least_bits, (max(1, size) // self.per_cell).bit_length()))
+    bits: int = 28
+    per_task: int = 1 << 30
 
 
 #: Delimiters of pieces become full stops, tabs blanks, A-Z small letters.
 TABLE = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r\t", LOWER.encode() + b"." * 10 + b" ")
 #: Bytes that are split into words at once, hashes that are sorted at once, phrases held before they are handed on.
-STEP, FLUSH, HELD = 1 << 22, 1 << 23, 1 << 19
+STEP, FLUSH, HELD = 1 << 21, 1 << 22, 1 << 18
 #: Cells of a row of counters.
-CHUNK = 18
+CHUNK = 20
 COUNTERS = "line int, chunk int, cells binary"
 COUNTED = "lang string, k int, phrase string, a long"
 
@@ -122,21 +118,36 @@ def cells(h: np.ndarray, line: int, bits: int) -> np.ndarray:
     return (mixed >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-def sketcher(spec: Spec, bits: int):
+def packed(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted places and what was counted there: the steps from place to place and the counts, byte by byte of their rank."""
+    import zstandard as zs
+
+    both = np.concatenate([np.diff(at, prepend=np.uint32(0)), n.astype(np.uint32)])
+    return zs.ZstdCompressor(level=1).compress(both.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard as zs
+
+    raw = np.frombuffer(zs.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(raw.T).view(np.uint32).reshape(2, -1)
+    return np.cumsum(both[0]), both[1]
+
+
+def sketcher(spec: Spec):
     """Function on Arrow batches of (lang, text): see COUNTERS."""
-    width = min(CHUNK, bits)
+    width = min(CHUNK, spec.bits)
 
     def counters(h):
-        import zstandard as zs
-
-        pack = zs.ZstdCompressor(level=1).compress
         for line in range(spec.rows):
-            c = np.sort(cells(h, line, bits))
-            cuts = np.searchsorted(c, np.arange(1 << (bits - width), dtype=np.uint64) << np.uint64(width)).tolist()
+            c = np.sort(cells(h, line, spec.bits))
+            first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            n = np.minimum(np.diff(np.append(first, len(c))), spec.least)
+            c = c[first]
+            cuts = np.searchsorted(c, np.arange(1 << (spec.bits - width), dtype=np.uint64) << np.uint64(width)).tolist()
             for chunk, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(c)], strict=True)):
                 if lo < hi:
-                    n = np.bincount(c[lo:hi] - np.uint32(chunk << width), minlength=1 << width)
-                    yield line, chunk, pack(np.minimum(n, spec.least).astype(np.min_scalar_type(spec.least)).tobytes())
+                    yield line, chunk, packed(c[lo:hi] - np.uint32(chunk << width), n[lo:hi])
 
     def run(batches):
         held, n = [], 0
@@ -167,40 +178,39 @@ def _batches(rows, at_once: int = 64):
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
 
-def merger(spec: Spec, bits: int):
-    """Function on Arrow batches of COUNTERS in order of (line, chunk): the stretches with a bit for every full cell."""
-    width = min(CHUNK, bits)
+def merger(spec: Spec):
+    """Function on Arrow batches of COUNTERS in order of (line, chunk): the full cells of every stretch."""
+    width = min(CHUNK, spec.bits)
 
     def run(batches):
-        import zstandard as zs
-
-        unpack, pack = zs.ZstdDecompressor().decompress, zs.ZstdCompressor(level=1).compress
-        kind, now, sums = np.min_scalar_type(spec.least), None, None
+        now, sums = None, np.zeros(1 << width, np.uint32)
 
         def full():
-            if now is not None and (sums >= spec.least).any():
-                yield (*now, pack(np.packbits(sums >= spec.least, bitorder="little").tobytes()))
+            at = np.flatnonzero(sums >= spec.least).astype(np.uint32)
+            if now is not None and len(at):
+                yield (*now, packed(at, np.ones(len(at))))
 
         for batch in batches:
-            for line, chunk, packed in zip(*(batch.column(c).to_pylist() for c in ("line", "chunk", "cells")), strict=True):
+            for line, chunk, data in zip(*(batch.column(c).to_pylist() for c in ("line", "chunk", "cells")), strict=True):
                 if (line, chunk) != now:
                     yield from _batches(full())
-                    now, sums = (line, chunk), np.zeros(1 << width, np.uint32)
-                sums += np.frombuffer(unpack(packed), kind)
-                np.minimum(sums, spec.least, out=sums)
+                    now = (line, chunk)
+                    sums[:] = 0
+                at, n = unpacked(data)
+                sums[at] = np.minimum(sums[at] + n, spec.least)
         yield from _batches(full())
 
     return run
 
 
-def counter(spec: Spec, bits: int, held):
+def counter(spec: Spec, held):
     """Function on Arrow batches of (lang, text): see COUNTED; k = 0 counts all words of a language."""
     eight = np.uint32(7)
 
     def inside(h):
         ok = np.ones(len(h), bool)
         for line in range(spec.rows):
-            c = cells(h, line, bits)
+            c = cells(h, line, spec.bits)
             ok &= (held.value[line][c >> np.uint32(3)] >> (c & eight).astype(np.uint8)) & 1 == 1
         return ok
 
@@ -255,26 +265,26 @@ def counter(spec: Spec, bits: int, held):
     return run
 
 
-def full_cells(docs: DataFrame, spec: Spec, bits: int) -> list[np.ndarray]:
-    """A bit for every cell of every row of the merged sketches, 2 ** bits / 8 bytes a row."""
-    import zstandard as zs
-
-    width = min(CHUNK, bits)
-    counters = docs.mapInArrow(sketcher(spec, bits), COUNTERS)
-    merged = counters.repartition("line", "chunk").sortWithinPartitions("line", "chunk").mapInArrow(merger(spec, bits), COUNTERS)
-    out, unpack = [np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(spec.rows)], zs.ZstdDecompressor().decompress
-    for line, chunk, packed in merged.toLocalIterator():
-        part = np.frombuffer(unpack(bytes(packed)), np.uint8)
-        out[line][chunk * len(part) : (chunk + 1) * len(part)] = part
+def full_cells(docs: DataFrame, spec: Spec) -> list[np.ndarray]:
+    """A bit for every cell of every row of the merged sketches, 2 ** ``bits`` / 8 bytes a row; only full cells come to the driver."""
+    width = min(CHUNK, spec.bits)
+    counters = docs.mapInArrow(sketcher(spec), COUNTERS)
+    merged = counters.repartition("line", "chunk").sortWithinPartitions("line", "chunk").mapInArrow(merger(spec), COUNTERS)
+    out = [np.zeros((1 << spec.bits) // 8, np.uint8) for _ in range(spec.rows)]
+    for line, chunk, data in merged.collect():
+        at = unpacked(bytes(data))[0] + np.uint64(chunk << width)
+        np.bitwise_or.at(out[line], at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
     return out
 
 
 def frequent(docs: DataFrame, spec: Spec, tables: Staging) -> DataFrame:
     """lang, k, phrase, a: exact counts of the phrases seen ``least`` times or more; k = 0 has all words of a language."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    bits = spec.bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    held = docs.sparkSession.sparkContext.broadcast(full_cells(docs, spec, bits))
-    sums = docs.mapInArrow(counter(spec, bits, held), COUNTED).groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a"))
+    context = docs.sparkSession.sparkContext
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.coalesce(max(2 * context.defaultParallelism, size // spec.per_task))
+    held = context.broadcast(full_cells(docs, spec))
+    sums = docs.mapInArrow(counter(spec, held), COUNTED).groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a"))
     return tables.put(sums.where((F.col("a") >= spec.least) | (F.col("k") == 0)), "frequent")
 
 
