@@ -55,16 +55,18 @@ class Spec:
 #: Delimiters of pieces become full stops, tabs blanks, A-Z small letters.
 TABLE = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r\t", LOWER.encode() + b"." * 10 + b" ")
 #: Bytes that are split into words at once, hashes that are sorted at once, phrases held before they are handed on.
-STEP, FLUSH, HELD = 1 << 21, 1 << 22, 1 << 18
+STEP, FLUSH, HELD = 1 << 20, 1 << 21, 1 << 17
 #: Cells of a row of counters.
 CHUNK = 20
 COUNTERS = "line int, chunk int, cells binary"
 COUNTED = "lang string, k int, phrase string, a long"
 
 
-def rows_of(batches):
+def rows_of(batches, at_once: int = 256):
     for batch in batches:
-        yield from zip(batch.column("lang").to_pylist(), H.texts(batch.column("text")), strict=True)
+        for i in range(0, batch.num_rows, at_once):
+            part = batch.slice(i, at_once)
+            yield from zip(part.column("lang").to_pylist(), H.texts(part.column("text")), strict=True)
 
 
 def stretches(rows, step: int = STEP):
