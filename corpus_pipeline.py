@@ -4,11 +4,14 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is writte
 Parquet to the shared folder and reread as the next stage's docs.  All but the last
 return the columns of ``documents``; other columns are ignored.
 
-Defined cases: documents with a null doc_id take part in every stage: they have no
-duplicates and no benchmark items, so that only the quality rules can remove them.
-Null and empty texts break a quality rule and go.  Of rows that share a doc_id, near-dedup
-keeps the one of least (text, lang, source, n_chars), nulls first.  Equal texts are
-near copies, whose least doc_id stays.  An empty table gives an empty result of every stage.
+Near-dedup and decontamination judge texts, not ids: a row with a null doc_id, or with one
+that other rows have too, is known by a hash of id and text (``text_ids``), so that no
+text goes because of another that shares its id.
+
+Defined cases: null and empty texts break a quality rule and go.  Of a group of near
+copies the least doc_id that is in one row stays, or, if all of them are shared or null,
+the row of least hash; of rows that are equal in id and text, the one of least (lang,
+source, n_chars), nulls first.  An empty table gives an empty result of every stage.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finloom.llm import decontaminate, neardup, packing, quality, secrets
-from finloom.llm.common import Staging, read, without
+from finloom.llm.common import Staging, few, read, staged, text_ids, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,25 +31,27 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4, five words and 80 %: the least doc_id of every group stays, in one row."""
+    """Operator 4, five words and 80 %: of every group of near copies one row stays."""
     docs = docs.select(*COLUMNS)
     tables = Staging(spark, "distinct")
-    judged = neardup.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    touched = tables.put(judged.where("NOT kept OR n > 1"), "touched")
-    left = without(docs, touched.where("NOT kept").select("doc_id"))
-    again = touched.where("kept").select("doc_id")
+    known = text_ids(docs, tables)
+    judged = neardup.near_duplicates(known.select(F.col("text_id").alias("doc_id"), "text"))
+    touched = tables.put(judged.groupBy(F.col("doc_id").alias("text_id")).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1"), "touched")
+    left = without(known, touched.where("NOT kept").select("text_id"), "text_id")
+    again = touched.where("kept").select("text_id")
     if again.isEmpty():
-        return left
-    rest = ["text", "lang", "source", "n_chars"]
-    once = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
-    return without(left, again).unionByName(once.select(*COLUMNS))
+        return left.select(*COLUMNS)
+    rest = ["text", "doc_id", "lang", "source", "n_chars"]
+    once = left.join(few(again), "text_id", "left_semi").groupBy("text_id").agg(F.min(F.struct(*rest)).alias("row")).select("row.*")
+    return without(left, again, "text_id").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that hold a benchmark item go."""
-    docs = docs.select(*COLUMNS)
-    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    return without(docs, Staging(spark, "leaks").put(found.select("doc_id").distinct(), "ids"))
+    tables = Staging(spark, "leaks")
+    known = text_ids(docs.select(*COLUMNS), tables)
+    found = decontaminate.contaminated(known.select(F.col("text_id").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return without(known, tables.put(found.select(F.col("doc_id").alias("text_id")).distinct(), "ids"), "text_id").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,10 +82,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     tables = Staging(spark, "pipeline")
     for name, stage in STAGES:
-        opened = len(Staging.live)
-        before, docs = docs, tables.put(stage(spark, docs, sf_dir), name)
-        for used in Staging.live[opened:]:
+        with staged() as opened:
+            before, docs = docs, tables.put(stage(spark, docs, sf_dir), name)
+        for used in opened:
             used.clear()
-        del Staging.live[opened:]
         tables.drop(before)
     return docs

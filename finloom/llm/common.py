@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,18 +35,32 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+#: Of this thread, so that two callers don't clear each other's tables.
+_opened: ContextVar[list[Staging] | None] = ContextVar("opened", default=None)
+
+
+@contextmanager
+def staged():
+    """The list of tables that are opened in the block."""
+    held: list[Staging] = []
+    before = _opened.set(held)
+    try:
+        yield held
+    finally:
+        _opened.reset(before)
+
+
 class Staging:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
     ``put`` writes and rereads a DataFrame; ``drop`` deletes what is no longer read, and
     ``clear`` all of it.  A result that is read lazily needs its tables until it is
-    written: the caller that writes it may then clear what was opened since (``live``).
+    written: the caller that writes it within ``staged()`` may then clear what was opened there.
     """
 
-    live: list[Staging] = []
-
     def __init__(self, spark: SparkSession, name: str):
-        Staging.live.append(self)
+        if (held := _opened.get()) is not None:
+            held.append(self)
         ship(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -76,9 +92,27 @@ class Staging:
 FEW_IDS = 4_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not in ``ids``, a staged table; their texts aren't shuffled while the ids are few."""
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def few(ids: DataFrame) -> DataFrame:
+    """``ids``, a staged table, to be sent to every executor if they are few enough."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose ``key`` is not in ``ids``, a staged table; their texts aren't shuffled while the ids are few."""
+    return docs.join(few(ids), key, "left_anti").select(*docs.columns)
+
+
+def text_ids(docs: DataFrame, tables: Staging, name: str = "text_id") -> DataFrame:
+    """``docs`` with an id of each text: its doc_id, or a hash of both where several rows share it or it is null.
+
+    Hashes are 2 ** 62 or more, so that among equal texts a doc_id of one row is the least.
+    """
+    again = tables.put(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    mixed = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+    if again.isEmpty():
+        return docs.withColumn(name, F.coalesce("doc_id", mixed))
+    met = docs.join(few(again.withColumn("_again", F.lit(True))), "doc_id", "left")
+    return met.select(*docs.columns, F.when(F.col("_again") | F.col("doc_id").isNull(), mixed).otherwise(F.col("doc_id")).alias(name))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
