@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from finloom.sources import banks as K
 from finloom.sources import tables as S
 
-#: One file per account and year; a running balance in every file, from an opening of 1,000.00.
+#: One file per account and year, in order of date; a running balance in every file, from an opening of 1,000.00.
 FILES = f"""SELECT account * 10000 + CAST(substr(month, 1, 4) AS INT) AS file, CAST(substr(month, 1, 4) AS INT) AS year, row_ord, date, description, credit, debit,
-  row_number() OVER (PARTITION BY account, substr(month, 1, 4) ORDER BY row_ord) AS n,
-  CAST(100000 + sum(credit - debit) OVER (PARTITION BY account, substr(month, 1, 4) ORDER BY row_ord) AS BIGINT) AS balance FROM ({S.LEDGER_SQL}) z"""
+  row_number() OVER (PARTITION BY account, substr(month, 1, 4) ORDER BY date, row_ord) AS n,
+  CAST(100000 + sum(credit - debit) OVER (PARTITION BY account, substr(month, 1, 4) ORDER BY date, row_ord) AS BIGINT) AS balance FROM ({S.LEDGER_SQL}) z"""
 
 
 def _lines(spark, d, form: K.BankFormat):
@@ -47,7 +47,8 @@ def _oracle(form: K.BankFormat) -> str:
     text = "CASE WHEN row_ord % 5 = 0 THEN description || ' REF ' || row_ord ELSE description END" if form.more else "description"
     side = "credit > 0"
     if form.side == "words":
-        side = f"CASE WHEN regexp_matches(upper(description), '{K.CREDIT_WORDS}') THEN true WHEN regexp_matches(upper(description), '{K.DEBIT_WORDS}') THEN false ELSE credit > 0 END"
+        told = lambda pattern: f"regexp_matches(' ' || upper(description) || ' ', '{pattern}')"
+        side = f"CASE WHEN {told(form.hints[0])} AND NOT {told(form.hints[1])} THEN true WHEN {told(form.hints[2])} THEN false ELSE credit > 0 END"
     return f"""WITH f AS ({FILES}), s AS (SELECT *, {side} AS into_ FROM f)
       SELECT file, n AS row, {date} AS date, {text} AS description, CASE WHEN into_ THEN 0 ELSE credit + debit END AS debit, CASE WHEN into_ THEN credit + debit ELSE 0 END AS credit, balance FROM s"""
 

@@ -3,7 +3,8 @@
 A statement is lines (file, bank, year, line_no, line).  A line that fits its bank's
 pattern opens a transaction; lines after it that fit nothing go on with its text, up to
 the format's limit, and noise lines go.  What a line doesn't print follows from the file:
-the date from the row before, the year from the statement, the side from the balance.
+the date from the row before, the year from the statement and the turns that its dates show,
+the side from the balance.
 """
 
 from __future__ import annotations
@@ -18,15 +19,19 @@ from finloom.functions.money import parsed_cents
 from finloom.functions.text import squash
 
 M = r"[\d,]+\.\d{2}"
+#: Hint words of formats without their own.
+CREDIT_WORDS, DEBIT_WORDS = r"\bDEPOSIT\b|\bCREDIT\b|\bINWARD\b|\bFROM\b", r"\bPAYMENT\b|\bFEE\b|\bTO\b|\bTAX\b"
 
 
 @dataclass(frozen=True)
 class BankFormat:
     """``pattern`` has the groups date, text, amount, mark or second amount, balance.
 
-    ``side``: "delta" by the change of the balance; "words" by hint words, else by delta;
-    "check" by delta if it is the amount, else by hint words; "sign" by the mark; "in_out"
-    and "out_in" by two columns.  ``more`` lines of text may follow.
+    ``side``: "delta" by the change of the balance; "words" by hint words of the first line,
+    else by delta, whose size is the amount if it differs by over five cents; "check" by delta
+    if it is the amount, else by hint words; "sign" by the mark; "in_out" and "out_in" by two
+    columns.  ``more`` lines of text may follow.  Hints are patterns over the text between
+    blanks: of credits, of what rules them out, and of debits.
     """
 
     bank: str
@@ -35,15 +40,20 @@ class BankFormat:
     side: str
     has_year: bool = True
     more: int = 0
+    hints: tuple[str, str, str] = (CREDIT_WORDS, "", DEBIT_WORDS)
+
 
+#: The hints of two banks.
+OCBC_HINTS = (" CR |CR /IB|CR INWARD|CREDIT", " DR |DR /IB", " DR |DR /IB|DEBIT|DUITNOW SC|DEBIT AS ADVISED")
+AMBANK_HINTS = (" CR |CREDIT|DUITNOW CR", "", "INW.*CHQ|CHQ.*INW|[^ ] DEBIT|/DEBIT|FEE|CHARGE|INT")
 
 BANKS = (
     BankFormat("public_bank", rf"^(?:(\d{{2}}/\d{{2}})\s+)?(.+?)\s+({M})()\s+(-?{M})$", "dd/MM/yyyy", "delta", has_year=False, more=6),
     BankFormat("uob", rf"^(\d{{2}}/\d{{2}}/\d{{4}})\s+(.+?)\s+({M})\s+({M})\s+(-?{M})$", "dd/MM/yyyy", "in_out", more=4),
     BankFormat("alliance", rf"^(\d{{6}})\s+(.+?)\s+({M})()\s+({M}\s*(?:CR|DR))$", "ddMMyy", "delta", more=3),
     BankFormat("rhb", rf"^(\d{{1,2}} [A-Za-z]{{3}})\s+(.+?)\s+({M})()\s+({M}[+-]?)$", "d MMM yyyy", "delta", has_year=False, more=2),
-    BankFormat("ambank", rf"^(\d{{2}}[A-Za-z]{{3}})\s+(.+?)\s+({M})()\s+(-?{M})$", "ddMMM yyyy", "check", has_year=False, more=4),
-    BankFormat("ocbc", rf"^(\d{{2}} [A-Za-z]{{3}} \d{{4}})\s+(.+?)\s+({M})()\s+(-?{M})$", "dd MMM yyyy", "words", more=3),
+    BankFormat("ambank", rf"^(\d{{2}}[A-Za-z]{{3}})\s+(.+?)\s+({M})()\s+(-?{M})$", "ddMMM yyyy", "check", has_year=False, more=4, hints=AMBANK_HINTS),
+    BankFormat("ocbc", rf"^(\d{{2}} [A-Za-z]{{3}} \d{{4}})\s+(.+?)\s+({M})()\s+(-?{M})$", "dd MMM yyyy", "words", more=3, hints=OCBC_HINTS),
     BankFormat("agrobank", rf"^(\d{{1,2}}/\d{{2}}/\d{{2}})\s+(.+?)\s+({M})(-?)\s+({M}-?)$", "d/MM/yy", "delta"),
     BankFormat("maybank", rf"^(\d{{2}}/\d{{2}})\s+(.+?)\s+({M})([+-])\s+({M}(?:DR)?)$", "dd/MM/yyyy", "sign", has_year=False, more=5),
     BankFormat("muamalat", rf"^(\d{{1,2}}/\d{{2}}/\d{{2}})\s+(.+?)\s+({M})\s+({M})\s+(-?{M})$", "d/MM/yy", "out_in"),
@@ -51,13 +61,27 @@ BANKS = (
 #: Lines that are never part of a transaction, and that of the opening balance.
 NOISE = r"(?i)^\s*$|^(?:page \d+|date\s+description|closing balance|total (?:debit|credit)|penyata akaun|statement of account|end of statement)\b"
 OPENING = r"(?i)^(?:opening balance|balance b/f|baki permulaan|balance brought fwd)\s+(-?[\d,]+\.\d{2})"
-CREDIT_WORDS, DEBIT_WORDS = r"\bDEPOSIT\b|\bCREDIT\b|\bINWARD\b|\bFROM\b", r"\bPAYMENT\b|\bFEE\b|\bTO\b|\bTAX\b"
 
 
 def _by_bank(value, formats: tuple[BankFormat, ...], other: Column) -> Column:
     return reduce(lambda c, f: c.when(F.col("bank") == f.bank, value(f)), formats[1:], F.when(F.col("bank") == formats[0].bank, value(formats[0]))).otherwise(other)
 
 
+def advanced_years(rows: DataFrame, fixed: Column) -> DataFrame:
+    """``rows`` (file, row, date, ...) with dates of the statement's year brought to the next one after its turn.
+
+    A date over 30 days before the one of the row above, as that one was advanced, is of the
+    next year; ``fixed`` rows print their year.  Whether a row is advanced so depends on the
+    row above only where the printed dates alone don't decide, so it is the last decision.
+    """
+    in_file = Window.partitionBy("file").orderBy("row")
+    falls = lambda c: F.datediff(c, "date") > 30
+    x = rows.withColumn("_was", F.lag("date").over(in_file))
+    decided = F.when(falls(F.col("_was")), True).when(~falls(F.add_months("_was", 12)), False)
+    x = x.withColumn("_next", F.last(decided, ignorenulls=True).over(in_file))
+    return x.withColumn("date", F.when(F.col("_next") & ~fixed, F.add_months("date", 12)).otherwise(F.col("date"))).drop("_was", "_next")
+
+
 def statement_rows(lines: DataFrame, formats: tuple[BankFormat, ...] = BANKS) -> DataFrame:
     """file, bank, row (its place), date, description, debit, credit, balance of every transaction.
 
@@ -83,19 +107,25 @@ def statement_rows(lines: DataFrame, formats: tuple[BankFormat, ...] = BANKS) ->
     y = rows.select(
         "file", "bank", "row", F.last(printed, ignorenulls=True).over(in_file).alias("date"),
         squash(F.concat_ws(" ", F.get("g", 1), F.array_join(F.transform(F.slice("rest", 1, more), lambda r: r["line"]), " "))).alias("description"),
-        parsed_cents(F.get("g", 2)).alias("a"), F.get("g", 3).alias("mark"), parsed_cents(F.get("g", 4)).alias("balance"), "opening",
+        squash(F.get("g", 1)).alias("head"), parsed_cents(F.get("g", 2)).alias("a"), F.get("g", 3).alias("mark"), parsed_cents(F.get("g", 4)).alias("balance"), "opening",
     )
     delta = F.col("balance") - F.coalesce(F.lag("balance").over(in_file), F.col("opening"))
-    y = y.withColumn("delta", delta).withColumn("_t", F.upper("description"))
-    hint = F.when(F.rlike("_t", F.lit(CREDIT_WORDS)), "CR").when(F.rlike("_t", F.lit(DEBIT_WORDS)), "DR")
+    y = y.withColumn("delta", delta).withColumn("_t", F.upper(F.concat(F.lit(" "), _by_bank(lambda f: F.col("head" if f.side == "words" else "description"), formats, F.lit("")), F.lit(" "))))
+    told = lambda p: F.rlike("_t", F.lit(p)) if p else F.lit(False)
+    hint = _by_bank(lambda f: F.when(told(f.hints[0]) & ~told(f.hints[1]), "CR").when(told(f.hints[2]), "DR"), formats, F.lit(None).cast("string"))
+    y = y.withColumn("hint", hint)
+    hint = F.col("hint")
     moved = F.when(F.col("delta") > 0, "CR").when(F.col("delta") < 0, "DR")
     exact = F.when(F.abs(F.abs("delta") - F.col("a")) <= 1, moved)
     rules = {
-        "delta": F.coalesce(moved, hint), "words": F.coalesce(hint, moved), "check": F.coalesce(exact, hint, moved),
+        "delta": F.coalesce(moved, hint), "words": F.coalesce(hint, moved), "check": F.coalesce(exact, hint, moved, F.when(F.col("delta").isNull(), "DR")),
         "sign": F.when(F.col("mark") == "+", "CR").otherwise("DR"), "in_out": F.when(F.col("a") > 0, "CR").otherwise("DR"), "out_in": F.when(F.col("a") > 0, "DR").otherwise("CR"),
     }
     two = _by_bank(lambda f: F.lit(f.side in ("in_out", "out_in")), formats, F.lit(False))
+    apart = {"words": F.abs(F.abs("delta") - F.col("a")) > 5, "check": exact.isNull() & F.col("delta").isNotNull()}
+    unlike = hint.isNull() & _by_bank(lambda f: apart.get(f.side, F.lit(False)), formats, F.lit(False))
     y = y.withColumn("side", _by_bank(lambda f: rules[f.side], formats, F.lit(None).cast("string")))
-    y = y.withColumn("amount", F.when(two & (F.col("a") == 0), parsed_cents(F.col("mark"))).otherwise(F.col("a")))
+    y = y.withColumn("amount", F.when(two & (F.col("a") == 0), parsed_cents(F.col("mark"))).when(unlike, F.abs("delta")).otherwise(F.col("a")))
     of = lambda s: F.when(F.col("side") == s, F.col("amount")).otherwise(0)
+    y = advanced_years(y, _by_bank(lambda f: F.lit(f.has_year), formats, F.lit(True)))
     return y.select("file", "bank", "row", "date", "description", of("DR").alias("debit"), of("CR").alias("credit"), "balance")
