@@ -16,7 +16,8 @@ CORPORATE_GLUED = r"[A-Z]{4,}(?:SDNBHD\.?|BERHAD|BHD\.?)(?:$|[^A-Z])"
 CORPORATE_CUT = r"[A-Z]{2,}\s+(?:\([^)]*\)\s+)?SDN\.?(?:\s+BH?\.?)?\s*$"
 CORPORATE_SB = r"[A-Z]{2,}\s+(?:\([^)]*\)\s+)?SB\s*$"
 CORPORATE_ANY = "|".join((CORPORATE, CORPORATE_GLUED, CORPORATE_CUT, CORPORATE_SB))
-PERSON = r"\b(BIN|BINTI|BT|A/L|A/P)\b"
+#: Markers of personal names, between blanks.
+PERSON = r"(^| )(BIN|BINTI|A/L|A/P)( |$)"
 REFERENCE = r"\b[A-Z]{0,3}[0-9]{6,}\b"
 
 

@@ -77,7 +77,7 @@ def merged(names: DataFrame) -> DataFrame:
     """name, survivor: the spelling of most rows, then turnover, then least text, of every group of linked names."""
     roots = least_labels(links(names))
     grouped = names.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
-    best = grouped.groupBy("root").agg(F.max_by("name", F.struct("n_rows", "turnover", F.expr("-ascii(name)"), "name")).alias("survivor"))
+    best = grouped.groupBy("root").agg(F.min_by("name", F.struct((-F.col("n_rows")).alias("r"), (-F.col("turnover")).alias("t"), "name")).alias("survivor"))
     return grouped.join(best, "root").select("name", "survivor")
 
 

@@ -43,7 +43,7 @@ def _lines(spark, d):
 def fin_section_sums(spark, d):
     lines = _lines(spark, d)
     totals = lines.groupBy("entity", "period", "section").agg(F.sum("value").alias("shown")).withColumn("shown", F.coalesce("shown", F.lit(0)) + F.when(F.col("entity") % 4 == 0, 900).otherwise(0))
-    return K.section_sums(lines.where("section <> 'other' OR entity % 3 > 0"), totals)
+    return K.section_sums(lines, totals)
 
 
 def fin_sheet_identities(spark, d):
@@ -84,8 +84,8 @@ def fin_service_cover(spark, d):
 
 def fin_period_match(spark, d):
     s = _sheet(spark, d)
-    a = s.where("line_count % 5 > 0").select("entity", F.concat(F.lit("FY"), "period").alias("period"), F.col("ebitda").alias("value"))
-    b = s.where("line_count % 3 > 0").select("entity", F.concat("period", F.lit(" (audited)")).alias("period"), F.col("ebit").alias("value"))
+    a = s.select("entity", F.concat(F.lit("FY"), "period").alias("period"), F.col("ebitda").alias("value"))
+    b = s.select("entity", F.concat("period", F.lit(" (audited)")).alias("period"), F.col("ebit").alias("value"))
     return K.matched_periods(a, b, 5_000_000)
 
 
@@ -96,8 +96,8 @@ def fin_benchmarks(spark, d):
 
 
 def fin_structure(spark, d):
-    found = _lines(spark, d).where("entity % 6 > 0 OR section <> 'cost'").select("entity", F.col("section").alias("item"))
-    return K.structure(found.unionByName(_sheet(spark, d).where("entity % 2 = 0").select("entity", F.lit("equity").alias("item"))), REQUIRED, OPTIONAL)
+    found = _lines(spark, d).select("entity", F.col("section").alias("item"))
+    return K.structure(found.unionByName(_sheet(spark, d).select("entity", F.when(F.col("entity") % 2 == 0, "equity").otherwise("shares").alias("item"))), REQUIRED, OPTIONAL)
 
 
 def fin_line_shape(spark, d):
@@ -107,7 +107,7 @@ def fin_line_shape(spark, d):
 def fin_parity(spark, d):
     s = _sheet(spark, d)
     long = lambda x, *names: x.select("entity", "period", F.inline(F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).alias("value")) for n in names])))
-    return K.parity(long(s.where("entity % 7 > 0"), "revenue", "total_assets"), long(s.where("entity % 5 > 0").withColumn("total_assets", F.col("total_equity_and_liabilities")), "revenue", "total_assets"))
+    return K.parity(long(s, "revenue", "total_assets"), long(s.withColumn("total_assets", F.col("total_equity_and_liabilities")), "revenue", "total_assets"))
 
 
 def fin_suite(spark, d):
@@ -150,7 +150,7 @@ _LEAP = "(CASE WHEN CAST(period AS INT) % 4 = 0 AND (CAST(period AS INT) % 100 <
 _DAYS = ", ".join(f"CAST(CASE WHEN {b} <> 0 THEN CAST({a} AS HUGEINT) * {n} // {b} END AS BIGINT) AS {k}_days{x}" for x, n in (("", "365"), ("_actual", _LEAP)) for k, a, b in (("debtor", "receivables", "revenue"), ("creditor", "payables", "cost"), ("inventory", "inventory", "cost")))
 ORACLES = {
     "fin_section_sums": _S + f""", t AS (SELECT entity, period, section, g + CASE WHEN entity % 4 = 0 THEN 900 ELSE 0 END AS shown FROM (SELECT entity, period, section, coalesce(sum(value), 0)::BIGINT AS g FROM ln GROUP BY ALL)),
-      a AS (SELECT entity, period, section, sum(value)::BIGINT AS added, count(value) AS n FROM ln WHERE section <> 'other' OR entity % 3 > 0 GROUP BY ALL)
+      a AS (SELECT entity, period, section, sum(value)::BIGINT AS added, count(value) AS n FROM ln GROUP BY ALL)
       SELECT entity, period, section, shown, added, CASE WHEN coalesce(n, 0) = 0 THEN CASE WHEN abs(shown) > 200 THEN 'NOT_ITEMISED' ELSE 'OK' END ELSE {_status('added', 'shown')} END AS status FROM t LEFT JOIN a USING (entity, period, section)""",
     "fin_sheet_identities": _S + f', i AS ({_ID}) SELECT *, {_status("computed", "shown")} AS status FROM i',
     "fin_restated": _S + " SELECT entity, period, 'total_assets' AS item, total_assets AS stated, total_assets + 1000 AS restated FROM s WHERE entity % 2 = 0",
@@ -161,18 +161,18 @@ ORACLES = {
     "fin_retained": _S + f", {_RE} SELECT *, {_status('rolled', 'retained')} AS status FROM rt",
     "fin_service_cover": _S + f""", p AS (SELECT *, greatest(coalesce(lag(term_loans) OVER (PARTITION BY entity ORDER BY period) - term_loans, 0), 0) AS fall FROM s), q AS (SELECT *, coalesce(principal_shown, fall) AS paid FROM p)
       SELECT entity, period, paid AS principal, principal_shown IS NULL AND fall > 200 AS principal_missing, {_bp('ebitda', 'interest + paid')} AS dscr FROM q""",
-    "fin_period_match": _S + """, a AS (SELECT entity, period AS key, ebitda AS left_value FROM s WHERE line_count % 5 > 0), b AS (SELECT entity, period AS key, ebit AS right_value FROM s WHERE line_count % 3 > 0)
+    "fin_period_match": _S + """, a AS (SELECT entity, period AS key, ebitda AS left_value FROM s), b AS (SELECT entity, period AS key, ebit AS right_value FROM s)
       SELECT *, CASE WHEN left_value IS NULL THEN 'RIGHT_ONLY' WHEN right_value IS NULL THEN 'LEFT_ONLY' WHEN abs(left_value - right_value) <= 5000000 THEN 'OK' ELSE 'DIFFERS' END AS status FROM a FULL JOIN b USING (entity, key)""",
     "fin_benchmarks": _S + f""", v AS ({_RT}) SELECT entity, period, ratio, list_extract(['>= 1.25x', '< 30%', '= 1', 'n/a'], CAST(entity % 4 + 1 AS INT)) AS benchmark,
       CASE entity % 4 WHEN 0 THEN value >= 12500 WHEN 1 THEN value < 300000 WHEN 2 THEN value = 10000 END AS met FROM v WHERE ratio IN ('current', 'gearing')""",
-    "fin_structure": _S + """, f AS (SELECT entity, section AS item FROM ln WHERE entity % 6 > 0 OR section <> 'cost' UNION SELECT entity, 'equity' FROM s WHERE entity % 2 = 0), g AS (SELECT entity, list(DISTINCT item) AS h FROM f GROUP BY entity)
+    "fin_structure": _S + """, f AS (SELECT entity, section AS item FROM ln UNION SELECT entity, CASE WHEN entity % 2 = 0 THEN 'equity' ELSE 'shares' END FROM s), g AS (SELECT entity, list(DISTINCT item) AS h FROM f GROUP BY entity)
       SELECT entity, array_to_string(list_sort(list_filter(['revenue', 'cost', 'equity'], lambda x: NOT list_contains(h, x))), ',') AS missing, array_to_string(list_sort(list_filter(h, lambda x: x NOT IN ('revenue', 'cost', 'equity', 'borrowings'))), ',') AS unknown,
         list_has_all(h, ['revenue', 'cost', 'equity']) AS valid FROM g""",
     "fin_line_shape": _S + """, w AS (SELECT *, sum(abs(value)) OVER (PARTITION BY entity, period, section) AS whole FROM ln),
       x AS (SELECT entity, period, section, concat_ws(',', CASE WHEN coalesce(trim(label), '') = '' THEN 'NO_LABEL' END, CASE WHEN value IS NULL THEN 'NO_VALUE' END, CASE WHEN label = 'Term loan' AND section <> 'borrowings' THEN 'BORROWING_ELSEWHERE' END,
         CASE WHEN label IN ('Other items', 'Sundry') AND abs(value) * 2 > whole THEN 'COARSE' END) AS faults FROM w) SELECT *, count(*) AS n FROM x WHERE faults <> '' GROUP BY ALL""",
-    "fin_parity": _S + """, a AS (SELECT entity, period, 'revenue' AS item, revenue AS actual FROM s WHERE entity % 7 > 0 UNION ALL SELECT entity, period, 'total_assets', total_assets FROM s WHERE entity % 7 > 0),
-      b AS (SELECT entity, period, 'revenue' AS item, revenue AS expected FROM s WHERE entity % 5 > 0 UNION ALL SELECT entity, period, 'total_assets', total_equity_and_liabilities FROM s WHERE entity % 5 > 0),
+    "fin_parity": _S + """, a AS (SELECT entity, period, 'revenue' AS item, revenue AS actual FROM s UNION ALL SELECT entity, period, 'total_assets', total_assets FROM s),
+      b AS (SELECT entity, period, 'revenue' AS item, revenue AS expected FROM s UNION ALL SELECT entity, period, 'total_assets', total_equity_and_liabilities FROM s),
       j AS (SELECT *, CASE WHEN actual IS NULL THEN 'MISSING' WHEN expected IS NULL THEN 'EXTRA' WHEN actual <> expected THEN 'DIFFERS' END AS kind FROM a FULL JOIN b USING (entity, period, item)) SELECT * FROM j WHERE kind IS NOT NULL""",
     "fin_suite": _S + f""", {_RE}, z AS (SELECT 'identities' AS "check", {_status('computed', 'shown')} AS status FROM ({_ID}) UNION ALL SELECT 'cross_section', {_status('computed', 'shown')} FROM ({_CR}) UNION ALL SELECT 'retained', {_status('rolled', 'retained')} FROM rt)
       SELECT "check", status, count(*) AS n FROM z GROUP BY ALL""",

@@ -72,7 +72,7 @@ lk AS (SELECT DISTINCT min(s) OVER (PARTITION BY rule, sk, CASE rule WHEN 'M3' T
 ls AS (SELECT a, b FROM lk WHERE a <> b), ed AS (SELECT a, b FROM ls UNION SELECT b, a FROM ls),
 rc AS (SELECT name, name AS root FROM nm UNION SELECT ed.b, rc.root FROM rc JOIN ed ON ed.a = rc.name),
 rt AS (SELECT name, min(root) AS root FROM rc GROUP BY name),
-sv AS (SELECT name, first_value(name) OVER (PARTITION BY root ORDER BY n_rows DESC, turnover DESC, ascii(name), name DESC) AS survivor FROM rt JOIN nm USING (name))"""
+sv AS (SELECT name, first_value(name) OVER (PARTITION BY root ORDER BY n_rows DESC, turnover DESC, name) AS survivor FROM rt JOIN nm USING (name))"""
 ORACLES = {
     "entity_links": _N + " SELECT a, b FROM ls",
     "entity_merge_closure": _N + " SELECT name, survivor FROM sv",
