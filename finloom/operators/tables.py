@@ -6,7 +6,7 @@ aren't followed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finloom.functions.binding import bound
@@ -83,6 +83,37 @@ def aligned(upper: Column, lower: Column) -> Column:
     return bound(F.struct(column_types(upper, SAMPLE, False).alias("a"), column_types(lower, SAMPLE).alias("b")), compared)
 
 
+def chained(tables: DataFrame) -> DataFrame:
+    """doc_id, page, reading_order, last_page, n_tables, html: tables that go on over pages, as one.
+
+    ``tables`` are (doc_id, page, reading_order, html).  The first table of a page goes on
+    with the last one of the page before it if both have alike columns below their heads (a
+    first row with head cells), and if its head, where it has one, is the last that the
+    document showed; such a head is dropped.  Runs of tables that go on become one, whose rows
+    follow in order.  A null or rowless table stands alone.
+    """
+    rows = rows_of(F.col("html"))
+    headed = F.coalesce(F.rlike(F.get("_rows", 0), F.lit("(?i)<th[ >]")), F.lit(False))
+    x = tables.withColumn("_rows", F.coalesce(rows, F.array().cast("array<string>"))).withColumn("_headed", headed)
+    x = x.withColumn("_head", F.when(F.col("_headed"), F.array_join(F.get(grid(F.col("html")), 0), "\n")))
+    x = x.withColumn("_body", F.when(F.col("_headed"), without_first(F.col("html"), 1)).otherwise(F.col("html")))
+    order = Window.partitionBy("doc_id").orderBy("page", "reading_order")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    same_head = F.col("_head").isNull() | (F.col("_head") == F.last("_head", ignorenulls=True).over(before))
+    near = F.lag("page").over(order) == F.col("page") - 1
+    x = x.withColumn("_near", near & same_head & (F.size("_rows") > 0) & (F.lag(F.size("_rows")).over(order) > 0)).withColumn("_above", F.lag("_body").over(order))
+    goes_on = F.coalesce(F.when(F.col("_near"), aligned(F.col("_above"), F.col("_body"))), F.lit(False))
+    x = x.withColumn("_on", goes_on).withColumn("_chain", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(order))
+    kept = F.when(F.col("_on") & F.col("_headed"), F.slice("_rows", 2, F.size("_rows"))).otherwise(F.col("_rows"))
+    by = x.groupBy("doc_id", "_chain").agg(
+        F.min("page").alias("page"), F.min_by("reading_order", "page").alias("reading_order"), F.max("page").alias("last_page"), F.count("*").alias("n_tables"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("page", "reading_order", kept.alias("r")))), lambda t: t["r"])).alias("_all"), F.min_by("html", F.struct("page", "reading_order")).alias("_first"),
+    )
+    tag = F.coalesce(F.nullif(F.regexp_extract("_first", r"(?i)(<table[^>]*>)", 1), F.lit("")), F.lit("<table>"))
+    html = F.when(F.col("n_tables") == 1, F.col("_first")).otherwise(F.concat(tag, F.lit("\n"), F.array_join("_all", "\n"), F.lit("\n</table>")))
+    return by.select("doc_id", "page", "reading_order", "last_page", "n_tables", html.alias("html"))
+
+
 def odd_rows(tables: DataFrame) -> DataFrame:
     """table, row, width, usual: rows whose width isn't the most frequent one of their table, the earlier of equally frequent ones."""
     rows = tables.select("table", F.posexplode(grid(F.col("html"))).alias("row", "cells")).select("table", (F.col("row") + 1).alias("row"), F.size("cells").alias("width"))

@@ -84,8 +84,21 @@ def table_neighbours(spark, d):
     return met.groupBy("doc_id", "page").agg(F.max("last").alias("last"), F.min("depth").alias("depth"), F.min_by("next_first", "depth").alias("next_first"))
 
 
+#: A table a line item on pages of its own: heads on the first and on even ones, a third column on the third of every third order, a page without a table.
+CHAINS = """SELECT l_orderkey AS doc_id, n + CASE WHEN n >= 4 AND l_orderkey % 5 = 0 THEN 1 ELSE 0 END AS page, 1 AS reading_order, n, l_orderkey % 3 = 0 AND n = 3 AS wide,
+  CASE WHEN n = 1 OR n % 2 = 0 THEN '<tr><th>Item</th><th>Qty</th></tr>' ELSE '' END AS head,
+  '<tr><td>P' || l_partkey || '</td><td>' || CAST(l_quantity AS INT) || '</td>' || CASE WHEN l_orderkey % 3 = 0 AND n = 3 THEN '<td>7</td>' ELSE '' END || '</tr>' AS line
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem) l"""
+
+
+def table_chains(spark, d):
+    """Tables over pages put together; chains break where columns or pages do."""
+    t = spark.sql(CHAINS.replace("FROM lineitem", "FROM {t}"), t=S.table(spark, d, "lineitem"))
+    return K.chained(t.select("doc_id", "page", "reading_order", F.concat(F.lit("<table>"), "head", "line", F.lit("</table>")).alias("html")))
+
+
 QUERIES = {f.__name__: f for f in (
-    html_slice_rows, html_merge_rows, html_cell_types, html_column_types, html_alignment, html_odd_rows, markdown_escape, markdown_to_html, polygon_boxes,
+    table_chains, html_slice_rows, html_merge_rows, html_cell_types, html_column_types, html_alignment, html_odd_rows, markdown_escape, markdown_to_html, polygon_boxes,
     document_routes, documents_in_order, table_neighbours,
 )}
 
@@ -96,6 +109,11 @@ _FIRST = "CASE WHEN true THEN 'text,text,text' END"
 _LAST = "CASE k WHEN 0 THEN 'text,text,number' WHEN 1 THEN 'text' WHEN 2 THEN 'empty,empty,number' ELSE 'text,text,number' END"
 _FR = f"WITH fr AS ({S.FRAGMENTS_SQL['duck']})"
 ORACLES = {
+    "table_chains": f"""WITH t AS ({CHAINS}), c AS (
+        SELECT *, coalesce(NOT wide AND NOT lag(wide) OVER o AND lag(page) OVER o = page - 1, false) AS goes_on FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY n)
+      ), g AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY n) AS chain FROM c)
+      SELECT doc_id, min(page) AS page, 1 AS reading_order, max(page) AS last_page, count(*) AS n_tables, CASE WHEN count(*) = 1 THEN '<table>' || any_value(head) || any_value(line) || '</table>' ELSE
+        '<table>' || chr(10) || string_agg(CASE WHEN goes_on OR head = '' THEN '' ELSE head || chr(10) END || line, chr(10) ORDER BY n) || chr(10) || '</table>' END AS html FROM g GROUP BY doc_id, chain""",
     "html_slice_rows": _H + """ SELECT "table", '<table border="1">' || chr(10) || array_to_string(r[2:], chr(10)) || chr(10) || '</table>' AS tail, '<table border="1">' || chr(10) || r[1] || chr(10) || '</table>' AS head,
       replace(html, r[1], '') AS headless, len(r) AS n_rows FROM p""",
     "html_merge_rows": _H + """ SELECT "table", sha256(replace(html, '</table>', chr(10) || array_to_string(r[2:], chr(10)) || chr(10) || '</table>')) AS sha256 FROM p""",
