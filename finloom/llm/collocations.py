@@ -55,7 +55,7 @@ class Spec:
 #: Delimiters of pieces become full stops, tabs blanks, A-Z small letters.
 TABLE = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r\t", LOWER.encode() + b"." * 10 + b" ")
 #: Bytes that are split into words at once, hashes that are sorted at once, phrases held before they are handed on.
-STEP, FLUSH, HELD = 1 << 20, 1 << 21, 1 << 17
+STEP, FLUSH, HELD = 1 << 20, 1 << 21, 1 << 19
 #: Cells of a row of counters.
 CHUNK = 20
 COUNTERS = "line int, chunk int, cells binary"
