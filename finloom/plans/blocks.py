@@ -172,7 +172,9 @@ def columns(spark: SparkSession, d: str) -> DataFrame:
     return L.column_rows(L.visual_lines(words))
 
 
-COLUMNS = f"""SELECT file, ((n - 1) // 30)::INT AS page, (n - 1) % 30 + 1 AS row, date, description, debit, credit, CASE WHEN n % 4 <> 0 THEN balance END AS balance FROM ({FILES}) f"""
+#: A row that prints no amount at all isn't one.
+COLUMNS = f"""SELECT file, ((n - 1) // 30)::INT AS page, row_number() OVER (PARTITION BY file, (n - 1) // 30 ORDER BY n) AS row, date, description, debit, credit, CASE WHEN n % 4 <> 0 THEN balance END AS balance
+  FROM ({FILES}) f WHERE debit + credit > 0 OR n % 4 <> 0"""
 
 QUERIES = {"bank_rakyat": rakyat, "bank_cimb": cimb, "bank_islam_balances": islam, "bank_year_turn": year_turn, "page_lines": page_lines, "bank_hong_leong": columns}
 ORACLES = {"bank_rakyat": RAKYAT, "bank_cimb": CIMB, "bank_islam_balances": ISLAM, "bank_year_turn": YEAR_TURN, "page_lines": PAGE_LINES, "bank_hong_leong": COLUMNS}
