@@ -18,8 +18,10 @@ with the length by itself.  The chances of the three tests are combined by Fishe
 method, and the result is never less than that of uniformity alone.  Benjamini-Hochberg
 over the document's candidates, weighted by their length, then holds the false
 discovery rate at ``ALPHA``.  Short tokens of small alphabets can't be told apart: 24
-decimal digits or 20 letters of one case are left to the base patterns.  Method spans
-that overlap base spans are dropped; base spans stay.
+decimal digits or 20 letters of one case are left to the base patterns.  A candidate inside
+a base span is not looked at; one that only overlaps base spans is tested whole and
+reported beside them, so that no half of a token stays readable.  Base spans stay.
+Other data in such an encoding, base64 of plain prose for one, looks random and is reported.
 
 No shuffle and no Python; positions are prefix sums of the pieces between matches.
 
@@ -182,8 +184,8 @@ def scan(docs: DataFrame, *keep: str) -> DataFrame:
         ).alias("base"),
         spans_of(text, CANDIDATE, "random").alias("candidates"),
     )
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = _bare(F.filter(_discovered(F.filter("candidates", apart)), apart))
+    beyond = lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    more = _bare(_discovered(F.filter("candidates", beyond)))
     return found.withColumn("spans", F.sort_array(F.concat("base", more))).drop("candidates")
 
 

@@ -126,7 +126,7 @@ def _chance(token):
 
 def _random_spans(text):
     base = [m.span() for p in (secrets.ASSIGN, secrets.ACCESS, secrets.HEX) for m in re.finditer(p, text) if p != secrets.ASSIGN or len(m[2]) >= 6]
-    found = [m.span() for m in re.finditer(secrets.CANDIDATE, text) if not any(a < m.end() and m.start() < b for a, b in base)]
+    found = [m.span() for m in re.finditer(secrets.CANDIDATE, text) if not any(a <= m.start() and m.end() <= b for a, b in base)]
     if not found:
         return []
     mean = sum(b - a for a, b in found) / len(found)

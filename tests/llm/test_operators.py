@@ -232,6 +232,16 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum(got[i] for i in range(50, 105)) == 0
 
 
+def test_tokens_that_hold_a_base_span_are_reported_whole(spark):
+    halves = "Zx9QwErTyUiOp12", "9f3b04d7c81e6a25fb90d3c4", "PlMnKoIjBh"
+    whole = "".join(halves)
+    rows = [(1, f"see {whole} here"), (2, f"see {halves[1]} here"), (3, f"password={halves[0]}{halves[2]} x"), (4, f"see {'a' * 30}")]
+    got = {r.doc_id: [(secrets.KINDS[s.kind], s.start, s.end) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [("random", 4, 53), ("hex", 19, 43)], 2: [("hex", 4, 28)], 3: [("assign", 0, 34)], 4: []}
+    masked = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), "text").select("doc_id", secrets.redact(F.col("text"), F.col("spans")).alias("t"))
+    assert masked.where("doc_id = 1").first().t == "see [SECRET] here"
+
+
 def _naive_pack(rows, capacity):
     """Best fit by looking at every bin."""
     bins, out = [], []
