@@ -44,30 +44,32 @@ def with_sides(rows: DataFrame, first: Column) -> DataFrame:
     return held.withColumn("debit", F.when(F.col("_d") < 0, -F.col("_d")).otherwise(0)).withColumn("credit", F.when(F.col("_d") > 0, F.col("_d")).otherwise(0)).drop("_d")
 
 
-def _labelled(lines: DataFrame, label: str, name: str) -> DataFrame:
-    """file and the first amount after the label: in its line, or first in the next line that has a digit or sign."""
-    after = F.regexp_extract("line", rf"(?i){label}(.*)$", 1)
+def _labelled(label: str, told: Column) -> Column:
+    """The first amount after the label: in its line, or first in the next line that has a digit or sign (``told``)."""
     here = F.regexp_extract("line", rf"(?i){label}[^\d\-]*({MONEY})", 1)
-    later = Window.partitionBy("file").orderBy(*FILE_ORDER).rowsBetween(1, Window.unboundedFollowing)
-    told = F.first(F.when(F.rlike("line", F.lit(r"[\d\-]")), F.col("line")), ignorenulls=True).over(later)
     below = F.when(F.rlike("line", F.lit(rf"(?i){label}[^\d\-]*$")), F.regexp_extract(told, rf"^[^\d\-]*({MONEY})", 1))
-    found = lines.select("file", *FILE_ORDER, F.coalesce(F.nullif(here, F.lit("")), F.nullif(F.when(after != "", below).otherwise(below), F.lit(""))).alias("v"))
-    return found.where("v IS NOT NULL").groupBy("file").agg(parsed_cents(F.min_by("v", F.struct(*FILE_ORDER))).alias(name))
+    return F.coalesce(F.nullif(here, F.lit("")), F.nullif(below, F.lit("")))
 
 
 def summaries(lines: DataFrame) -> DataFrame:
     """file, opening, total_debit, total_credit, closing as printed: by labels, else the last four amounts of the file.
 
     A labelled amount of zero counts as not printed.  Where there is no opening, it is
-    solved back from the closing and the totals.
+    solved back from the closing and the totals.  A file is read once, from its end, so
+    that what follows a line is what was read before it.
     """
-    known = lines.where("line IS NOT NULL")
-    amounts = known.select("file", *FILE_ORDER, F.posexplode(F.regexp_extract_all("line", F.lit(f"({MONEY})"), 1)).alias("pos", "v"))
-    last = amounts.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("page"), F.desc("line_no"), F.desc("pos")))).where("n <= 4")
-    at = lambda k: parsed_cents(F.max(F.when(F.col("n") == k, F.col("v"))))
-    four = last.groupBy("file").agg(F.count("*").alias("k"), at(4).alias("o4"), at(3).alias("d4"), at(2).alias("c4"), at(1).alias("b4")).where("k = 4")
-    x = known.select("file").distinct().join(_labelled(known, OPENING, "o"), "file", "left").join(_labelled(known, CLOSING, "b"), "file", "left").join(four, "file", "left")
-    printed = lambda a, b: F.when(F.col("k").isNotNull(), F.coalesce(F.nullif(F.col(a), F.lit(0)), F.col(b))).otherwise(F.col(a))
+    back = Window.partitionBy("file").orderBy(*[F.desc(c) for c in FILE_ORDER]).rowsBetween(Window.unboundedPreceding, -1)
+    x = lines.where("line IS NOT NULL").withColumn("_a", F.regexp_extract_all("line", F.lit(f"({MONEY})"), 1))
+    x = x.withColumn("_told", F.last(F.when(F.rlike("line", F.lit(r"[\d\-]")), F.col("line")), ignorenulls=True).over(back))
+    x = x.withColumn("_after", F.coalesce(F.sum(F.size("_a")).over(back), F.lit(0)))
+    place, told = F.struct(*FILE_ORDER), F.col("_told")
+    x = x.select("file", place.alias("_p"), _labelled(OPENING, told).alias("_o"), _labelled(CLOSING, told).alias("_b"), F.when(F.col("_after") < 4, F.struct(*FILE_ORDER, F.col("_a").alias("a"))).alias("_l"))
+    first = lambda c: parsed_cents(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_p"))))
+    # the last line of a file has none after it, so that no file goes
+    of = x.where("_o IS NOT NULL OR _b IS NOT NULL OR _l IS NOT NULL").groupBy("file").agg(first("_o").alias("o"), first("_b").alias("b"), F.flatten(F.transform(F.sort_array(F.collect_list("_l")), lambda l: l["a"])).alias("_all"))
+    at = lambda k: F.when(F.size("_all") >= 4, parsed_cents(F.try_element_at("_all", F.lit(-k))))
+    x = of.withColumn("k", F.size("_all") >= 4).withColumns({"o4": at(4), "d4": at(3), "c4": at(2), "b4": at(1)})
+    printed = lambda a, b: F.when(F.col("k"), F.coalesce(F.nullif(F.col(a), F.lit(0)), F.col(b))).otherwise(F.col(a))
     x = x.select("file", printed("o", "o4").alias("opening"), F.col("d4").alias("total_debit"), F.col("c4").alias("total_credit"), printed("b", "b4").alias("closing"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return x.withColumn("opening", F.coalesce("opening", F.col("closing") - zero(F.col("total_credit")) + zero(F.col("total_debit"))))

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from finloom.operators import layout as L
+from finloom.plans import blocks as P
 from finloom.sources import banks as K
 from finloom.sources import blocks as B
 
@@ -200,3 +201,17 @@ def test_amounts_go_to_the_nearest_column(spark):
     assert got == [
         (0, 1, "2024-02-01", "PAY more", 0, 1000, 11000), (1, 1, "2024-02-02", "", 200, 400, None), (1, 2, "2024-02-04", "OD", 0, 0, -500), (2, 1, "2024-02-05", "X", 300, 0, -100000),
     ]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_summaries_read_a_file_once_and_what_follows_a_line_from_its_end(spark, sf_dir):
+    text = "Opening Balance\nno figures here\nas of 5 May\nBaki Permulaan\n1,000.00 5.00\nClosing Balance: 7.00\nBaki Penutup 9.00"
+    got = [tuple(r) for r in B.summaries(_file(spark, text)).collect()]
+    assert got == [("f", 100_000, 500, 700, 700)]
+    # an open frame to the end is read anew for every row, in time that is quadratic in the file
+    plan = _plan(B.summaries(_file(spark, text)))
+    assert "unboundedfollowing$" not in plan and plan.count("exchange") == 1
+    assert _plan(P.rakyat(spark, sf_dir)).count("filescan") <= 2
