@@ -114,16 +114,19 @@ def nearest_label(boxes: DataFrame, labels: DataFrame) -> DataFrame:
 
     Labels of the cells around a box's centre come first; their best is right if it is
     no farther than a cell.  Only boxes without such a label look at the whole page.
+    Tasks take pages, however the tables' files are cut, and both sides meet sorted: labels
+    are neither broadcast nor is a file's worth of pairs sorted in one task.
     """
     centred = lambda t: t.withColumn("mx", F.col("x1") + F.col("x2")).withColumn("my", F.col("y1") + F.col("y2"))
     size = 2 * CELL  # centres are doubled
     near = lambda c: F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.floor(F.col(c) / size) + k))
-    a = centred(boxes).select("page", "box", "mx", "my")
-    b = centred(labels).select("page", F.col("box").alias("label"), F.col("mx").alias("lx"), F.col("my").alias("ly"))
+    a = centred(boxes).select("page", "box", "mx", "my").repartition("page")
+    b = centred(labels).select("page", F.col("box").alias("label"), F.col("mx").alias("lx"), F.col("my").alias("ly")).repartition("page")
     gap = (F.col("mx") - F.col("lx")) * (F.col("mx") - F.col("lx")) + (F.col("my") - F.col("ly")) * (F.col("my") - F.col("ly"))
-    best = lambda met: met.groupBy("page", "box", "mx", "my").agg(F.min(F.struct(gap.alias("distance"), "label")).alias("m"))
-    around = a.withColumn("cx", near("mx")).withColumn("cy", near("my"))
-    placed = b.withColumn("cx", F.floor(F.col("lx") / size)).withColumn("cy", F.floor(F.col("ly") / size))
-    close = best(around.join(placed, ["page", "cx", "cy"])).where(F.col("m.distance") <= size * size)
-    far = best(a.join(close, ["page", "box"], "left_anti").join(b, "page"))
+    best = lambda met: met.groupBy("page", "box", "mx", "my").agg(F.min(F.struct(F.col("gap").alias("distance"), "label")).alias("m"))
+    placed = a.withColumn("cx", F.floor(F.col("mx") / size)).withColumn("cy", F.floor(F.col("my") / size))
+    around = b.withColumn("cx", near("lx")).withColumn("cy", near("ly"))
+    met = placed.join(around.hint("merge"), ["page", "cx", "cy"]).withColumn("gap", gap)
+    close = best(met.where(F.col("gap") <= size * size))
+    far = best(a.join(close.select("page", "box").hint("merge"), ["page", "box"], "left_anti").join(b.hint("merge"), "page").withColumn("gap", gap))
     return close.unionByName(far).select("page", "box", "m.distance", "m.label")
