@@ -120,27 +120,28 @@ def reversed_blocks(lines: DataFrame) -> DataFrame:
     x = x.withColumn("_m", F.try_element_at(money, F.lit(-1))).withColumn("_words", F.when(F.col("_m").isNull(), F.col("line")).otherwise(F.array_join(F.slice(tokens, 1, (first - 1).cast("int")), " ")))
     opening, closing = F.rlike("line", F.lit(r"(?i)^\s*OPENING\s+BALANCE\b")), F.rlike("line", F.lit("(?i)CLOSING BALANCE")) & F.rlike("line", F.lit("(?i)BAKI"))
     x = x.withColumn("_kind", F.when(opening, "opening").when(closing, "closing").when(F.rlike("line", F.lit(rf"^{DAY} ")), "dated").otherwise("more"))
-    ends = x.where("_kind IN ('opening', 'closing')").groupBy("file").agg(
-        parsed_cents(F.max_by("_m", F.when((F.col("_kind") == "opening") & F.col("_m").isNotNull(), F.struct(*FILE_ORDER)))).alias("opening"),
-        parsed_cents(F.min_by("_m", F.when((F.col("_kind") == "closing") & F.col("_m").isNotNull(), F.struct(*FILE_ORDER)))).alias("closing"),
-    )
+    # both ends and the latest date stand beside every row, so that a file is read once
+    place, whole = F.struct(*FILE_ORDER), Window.partitionBy("file")
+    end = lambda pick, kind: parsed_cents(pick("_m", F.when((F.col("_kind") == kind) & F.col("_m").isNotNull(), place)).over(whole))
+    x = x.withColumn("opening", end(F.max_by, "opening")).withColumn("closing", end(F.min_by, "closing"))
     y = x.where("_kind IN ('dated', 'more')").withColumn("_block", F.sum(F.when(F.col("_kind") == "dated", 1).otherwise(0)).over(_upto("file")))
     done = F.coalesce(F.max(F.col("_m").isNotNull()).over(_before("file", "_block")), F.lit(False))
     y = y.withColumn("_done", done).where("_block > 0 AND NOT _done")
-    place = F.struct(*FILE_ORDER)
     blocks = y.groupBy("file", "_block").agg(
         _day(F.substr(F.min_by("line", place), F.lit(1), F.lit(10))).alias("date"),
         squash(F.substr(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*FILE_ORDER, "_words"))), lambda r: r["_words"]), " "), F.lit(11))).alias("description"),
-        parsed_cents(F.max("_m")).alias("balance"),
+        parsed_cents(F.max("_m")).alias("balance"), F.first("opening").alias("opening"), F.first("closing").alias("closing"),
     ).where("balance IS NOT NULL AND date IS NOT NULL")
-    placed = blocks.withColumn("row", F.row_number().over(Window.partitionBy("file").orderBy("date", F.desc("_block"))))
-    rows = with_sides(placed.join(ends, "file", "left"), F.col("opening")).select("file", "row", F.lit("row").alias("kind"), "date", "description", "debit", "credit", "balance")
-    latest = blocks.groupBy("file").agg(F.max("date").alias("latest"))
-    known = ends.join(latest, "file", "left")
-    none = [F.lit(0).cast("bigint").alias(c) for c in ("debit", "credit")]
-    head = known.where("opening IS NOT NULL AND latest IS NOT NULL").select("file", F.lit(0).alias("row"), F.lit("opening").alias("kind"), F.trunc("latest", "month").alias("date"), F.lit("OPENING BALANCE (PAGE 1)").alias("description"), *none, F.col("opening").alias("balance"))
-    tail = known.where("closing IS NOT NULL AND latest IS NOT NULL").select("file", F.lit(2**31 - 1).alias("row"), F.lit("closing").alias("kind"), F.col("latest").alias("date"), F.lit("CLOSING BALANCE / BAKI PENUTUP").alias("description"), *none, F.col("closing").alias("balance"))
-    every = head.unionByName(rows).unionByName(tail)
+    placed = blocks.withColumn("row", F.row_number().over(Window.partitionBy("file").orderBy("date", F.desc("_block")))).withColumn("latest", F.max("date").over(whole))
+    rows = with_sides(placed, F.col("opening"))
+    kept = ("row", "kind", "date", "description", "debit", "credit", "balance")
+    item = lambda *values: F.struct(*[v.alias(c) for c, v in zip(kept, values, strict=True)])
+    none = F.lit(0).cast("bigint")
+    head = item(F.lit(0), F.lit("opening"), F.trunc("latest", "month"), F.lit("OPENING BALANCE (PAGE 1)"), none, none, F.col("opening"))
+    tail = item(F.lit(2**31 - 1), F.lit("closing"), F.col("latest"), F.lit("CLOSING BALANCE / BAKI PENUTUP"), none, none, F.col("closing"))
+    told = lambda c, extra: F.when((F.col("row") == 1) & F.col(c).isNotNull(), extra)
+    own = item(F.col("row"), F.lit("row"), *[F.col(c) for c in kept[2:4]], *[F.col(c).cast("bigint") for c in kept[4:6]], F.col("balance"))
+    every = rows.select("file", F.inline(F.array_compact(F.array(told("opening", head), own, told("closing", tail)))))
     once = every.withColumn("_k", F.row_number().over(Window.partitionBy("file", "date", "debit", "credit", "balance").orderBy("row"))).where("_k = 1")
     return once.withColumn("row", F.row_number().over(Window.partitionBy("file").orderBy("row"))).drop("_k")
 

@@ -215,3 +215,8 @@ def test_summaries_read_a_file_once_and_what_follows_a_line_from_its_end(spark,
     plan = _plan(B.summaries(_file(spark, text)))
     assert "unboundedfollowing$" not in plan and plan.count("exchange") == 1
     assert _plan(P.rakyat(spark, sf_dir)).count("filescan") <= 2
+
+
+def test_reversed_statements_are_printed_and_read_in_one_pass(spark, sf_dir):
+    plan = _plan(P.cimb(spark, sf_dir))
+    assert plan.count("filescan") == 1 and "union" not in plan
