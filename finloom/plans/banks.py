@@ -25,14 +25,13 @@ def _lines(spark, d, form: K.BankFormat):
     after = {"alliance": F.concat(money(F.abs(bal)), F.when(bal < 0, " DR").otherwise(" CR")), "rhb": F.concat(money(F.abs(bal)), F.when(bal < 0, "-").otherwise("+")), "agrobank": F.concat(money(F.abs(bal)), F.when(bal < 0, "-").otherwise("")), "maybank": F.concat(money(F.abs(bal)), F.when(bal < 0, "DR").otherwise(""))}.get(form.bank, money(bal))
     cells = {"sign": F.concat(money(amount), F.when(into, "+").otherwise("-")), "in_out": F.concat_ws(" ", money(F.col("credit")), money(F.col("debit"))), "out_in": F.concat_ws(" ", money(F.col("debit")), money(F.col("credit")))}.get(form.side, money(amount))
     line = F.concat_ws(" ", day, "description", cells, after)
-    lines = [t.select("file", "year", (F.col("n") * 10).alias("line_no"), line.alias("line")), t.where("n = 1").select("file", "year", F.lit(1).cast("long").alias("line_no"), F.lit("OPENING BALANCE 1,000.00").alias("line"))]
-    lines.append(t.where("row_ord % 4 = 0").select("file", "year", (F.col("n") * 10 + 5).alias("line_no"), F.concat(F.lit("Page "), F.col("n").cast("string")).alias("line")))
+    told = lambda when, at, text: F.when(when, F.struct(at.cast("long").alias("line_no"), text.alias("line")))
+    n, number = F.col("n"), F.col("row_ord")
+    lines = [told(F.lit(True), n * 10, line), told(n == 1, F.lit(1), F.lit("OPENING BALANCE 1,000.00")), told(number % 4 == 0, n * 10 + 5, F.concat(F.lit("Page "), n.cast("string")))]
     if form.more:
-        lines.append(t.where("row_ord % 5 = 0").select("file", "year", (F.col("n") * 10 + 2).alias("line_no"), F.concat(F.lit("REF "), F.col("row_ord").cast("string")).alias("line")))
-    out = lines[0]
-    for x in lines[1:]:
-        out = out.unionByName(x)
-    return out.withColumn("bank", F.lit(form.bank))
+        lines.append(told(number % 5 == 0, n * 10 + 2, F.concat(F.lit("REF "), number.cast("string"))))
+    # one pass over the rows prints all their lines
+    return t.select("file", "year", F.inline(F.array_compact(F.array(*lines)))).withColumn("bank", F.lit(form.bank))
 
 
 def _query(form: K.BankFormat):

@@ -220,3 +220,10 @@ def test_summaries_read_a_file_once_and_what_follows_a_line_from_its_end(spark,
 def test_reversed_statements_are_printed_and_read_in_one_pass(spark, sf_dir):
     plan = _plan(P.cimb(spark, sf_dir))
     assert plan.count("filescan") == 1 and "union" not in plan
+
+
+def test_lines_of_banks_are_printed_in_one_pass(spark, sf_dir):
+    from finloom.plans import banks
+
+    plan = _plan(banks.QUERIES["bank_uob"](spark, sf_dir))
+    assert plan.count("filescan") == 1 and "union" not in plan
