@@ -99,9 +99,9 @@ def anchors(lined: DataFrame, columns: Columns = Columns()) -> DataFrame:
     # part of a word counts for the line, the place needs the word itself
     has = lambda label: F.max(F.contains(low, F.lit(label)))
     lines = lined.groupBy(*PAGE, "line").agg(*[place(x).alias(f"x{i}") for i, x in enumerate(labels)], *[has(x).alias(f"h{i}") for i, x in enumerate(labels)])
-    heads = lines.where("h0 AND h1 AND h2").groupBy(*PAGE).agg(F.min_by(F.struct("x0", "x1", "x2"), "line").alias("h"))
     names = ("credit_x", "debit_x", "balance_x")
-    found = lined.select(*PAGE).distinct().join(heads, list(PAGE), "left")
+    # pages without such a line stay, with a null
+    found = lines.groupBy(*PAGE).agg(F.min_by(F.struct("x0", "x1", "x2"), F.when(F.expr("h0 AND h1 AND h2"), F.col("line"))).alias("h"))
     return found.select(*PAGE, *[F.coalesce(F.col(f"h.x{i}"), F.lit(p)).alias(n) for i, (n, p) in enumerate(zip(names, columns.places, strict=True))])
 
 

@@ -227,3 +227,11 @@ def test_lines_of_banks_are_printed_in_one_pass(spark, sf_dir):
 
     plan = _plan(banks.QUERIES["bank_uob"](spark, sf_dir))
     assert plan.count("filescan") == 1 and "union" not in plan
+
+
+def test_words_of_columns_are_printed_in_one_pass_and_anchors_need_no_join(spark, sf_dir):
+    plan = _plan(P.columns(spark, sf_dir))
+    assert "union" not in plan and plan.count("mapinarrow") == 2
+    words = [("f", 0, 0, 1.0, None, "x"), ("f", 1, 1, 5.0, 0.0, "Deposit"), ("f", 1, 2, 6.0, 0.0, "Withdrawal"), ("f", 1, 3, 7.0, 0.0, "Balance")]
+    lined = L.visual_lines(spark.createDataFrame(words, "file string, page int, word int, x double, y double, text string"))
+    assert sorted(tuple(r) for r in L.anchors(lined).collect()) == [("f", 0, 320.0, 410.0, 520.0), ("f", 1, 5.0, 6.0, 7.0)]
