@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from finloom.functions.money import parsed_cents
 
@@ -39,6 +39,70 @@ def line_numbers(ys: list[float], tolerance: float) -> list[int]:
     return [place[k] for k in of]
 
 
+def _numbered(pages, tolerance: float):
+    """Place of the page and number of the line of every row of an Arrow table of whole pages, sorted by page and y; -1 where y is null.
+
+    A gap wider than the tolerance parts lines whatever their centres are, and words that
+    span less than it are one line; only what is neither is numbered word by word.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = pages.num_rows
+    cut = np.ones(n, bool)
+    if n > 1:
+        cut[1:] = False
+        for name in PAGE:
+            c = pages.column(name).combine_chunks()
+            other = pc.fill_null(pc.not_equal(c[1:], c[:-1]), False)
+            cut[1:] |= pc.or_(other, pc.xor(pc.is_null(c[1:]), pc.is_null(c[:-1]))).to_numpy(zero_copy_only=False)
+    page = np.cumsum(cut) - 1
+    y = pages.column("y").combine_chunks()
+    line, known = np.full(n, -1, np.int64), np.flatnonzero(pc.is_valid(y).to_numpy(zero_copy_only=False))
+    if not len(known):
+        return page, line
+    ys, of = y.drop_null().to_numpy(zero_copy_only=False).astype(float), page[known]
+    slack = 1e-9 * (1 + np.abs(ys))  # centres are rounded
+    start = np.concatenate([[True], (np.diff(ys) > tolerance + slack[1:]) | (np.diff(of) > 0)])
+    lo = np.flatnonzero(start)
+    hi = np.append(lo[1:], len(ys))
+    lines, own = np.ones(len(lo), np.int64), np.zeros(len(ys), np.int64)
+    for r in np.flatnonzero(~(ys[hi - 1] - ys[lo] <= tolerance - slack[hi - 1])):
+        own[lo[r] : hi[r]] = line_numbers(ys[lo[r] : hi[r]].tolist(), tolerance)
+        lines[r] = own[lo[r] : hi[r]].max() + 1
+    before = np.cumsum(lines) - lines
+    first = np.searchsorted(of[lo], of[lo])  # the first run of the page
+    line[known] = own + np.repeat(before - before[first], hi - lo)
+    return page, line
+
+
+def _whole_pages(batches, done):
+    """``done`` of tables of whole pages, from Arrow batches sorted by page; a task holds one page and a batch."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch.num_rows - 1
+        same = None
+        for name in PAGE:
+            c, v = batch.column(name), batch.column(name)[last]
+            alike = pc.is_null(c) if not v.is_valid else pc.fill_null(pc.equal(c, v), False)
+            same = alike if same is None else pc.and_(same, alike)
+        # the batch's last page begins where the run of its key at the end does
+        at = pc.index(same, True).as_py()
+        head = held[-1] if held else None
+        if at or (head is not None and any(head.column(name)[head.num_rows - 1] != batch.column(name)[0] for name in PAGE)):
+            if held or at:
+                yield from done(pa.Table.from_batches([*held, batch.slice(0, at)]))
+            held = []
+        held.append(batch.slice(at))
+    if held:
+        yield from done(pa.Table.from_batches(held))
+
+
 def visual_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """``words`` (file, page, word, x, y, ...) with ``line``, counted from 0 at the top of each page.
 
@@ -50,34 +114,44 @@ def visual_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        def numbered(parts):
-            page = pa.Table.from_batches(parts).combine_chunks()
-            ys = page.column("y").to_pylist()
-            n = line_numbers([y for y in ys if y is not None], tolerance)
-            line = iter(n)
-            out = [None if y is None else next(line) for y in ys]
-            yield from page.append_column("line", pa.array(out, pa.int32())).to_batches()
-
-        held, now = [], None
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in PAGE), strict=True))
-            at = 0
-            while at < len(keys):
-                end = at
-                while end < len(keys) and keys[end] == keys[at]:
-                    end += 1
-                if keys[at] != now and held:
-                    yield from numbered(held)
-                    held = []
-                now = keys[at]
-                held.append(batch.slice(at, end - at))
-                at = end
-        if held:
-            yield from numbered(held)
+        def done(pages):
+            _, line = _numbered(pages, tolerance)
+            yield from pages.append_column("line", pa.array(line, pa.int32(), mask=line < 0)).combine_chunks().to_batches()
+
+        yield from _whole_pages(batches, done)
 
     return words.repartition(*PAGE).sortWithinPartitions(*PAGE, "y", "x", "word").mapInArrow(run, schema)
 
 
+def line_texts(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """file, page, line, text: the words of every line of ``visual_lines``, from the left, in the pass that numbers the lines."""
+    schema = StructType([words.schema[c] for c in PAGE]).add("line", IntegerType()).add("text", StringType())
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def done(pages):
+            page, line = _numbered(pages, tolerance)
+            keys = pa.table({"page": page, "line": line, "x": pages.column("x"), "word": pages.column("word")})
+            order = pc.sort_indices(keys, [(c, "ascending") for c in keys.column_names], null_placement="at_start")
+            page, line = page[order], line[order]
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(page) != 0) | (np.diff(line) != 0)]))
+            text = pages.column("text").combine_chunks().take(order)
+            there = pc.is_valid(text)
+            ends = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
+            at = pa.array(np.append(ends[first], ends[-1]), pa.int32())
+            texts = pc.binary_join(pa.ListArray.from_arrays(at, text.filter(there)), " ")
+            heads, line = pages.select(list(PAGE)).take(order.take(pa.array(first))), line[first]
+            columns = [heads.column(c).combine_chunks() for c in PAGE] + [pa.array(line, pa.int32(), mask=line < 0), texts]
+            yield pa.record_batch(columns, names=[*PAGE, "line", "text"])
+
+        yield from _whole_pages(batches, done)
+
+    return words.select(*PAGE, "word", "x", "y", "text").repartition(*PAGE).sortWithinPartitions(*PAGE, "y").mapInArrow(run, schema)
+
+
 @dataclass(frozen=True)
 class Columns:
     """Labels of the amount columns, where they are if no heading is found, and the reach of each."""

@@ -235,3 +235,34 @@ def test_words_of_columns_are_printed_in_one_pass_and_anchors_need_no_join(spark
     words = [("f", 0, 0, 1.0, None, "x"), ("f", 1, 1, 5.0, 0.0, "Deposit"), ("f", 1, 2, 6.0, 0.0, "Withdrawal"), ("f", 1, 3, 7.0, 0.0, "Balance")]
     lined = L.visual_lines(spark.createDataFrame(words, "file string, page int, word int, x double, y double, text string"))
     assert sorted(tuple(r) for r in L.anchors(lined).collect()) == [("f", 0, 320.0, 410.0, 520.0), ("f", 1, 5.0, 6.0, 7.0)]
+
+
+def test_lines_of_pages_are_numbered_and_printed_in_one_pass(spark, sf_dir):
+    rng, rows = random.Random(11), []
+    for file in (None, 1, 2, 3, 4):
+        for page in (None, 0, 1):
+            apart = rng.choice([12.0, 3.5, 2.0])
+            for w in range(rng.choice([1, 7, 90])):
+                y = None if rng.random() < 0.05 else rng.randrange(9) * apart + rng.choice([0.0, 0.5, 1.0, 3.0])
+                rows.append((file, page, w, None if rng.random() < 0.05 else rng.randrange(5) * 30.0, y, None if rng.random() < 0.05 else f"t{w}"))
+    rng.shuffle(rows)
+    want, low = {}, lambda v: (v is not None, v or 0)
+    for key in {r[:2] for r in rows}:
+        page = sorted((r for r in rows if r[:2] == key), key=lambda r: [low(v) for v in (r[4], r[3], r[2])])
+        of = iter(L.line_numbers([r[4] for r in page if r[4] is not None], 3.0))
+        for r in page:
+            want.setdefault((*key, None if r[4] is None else next(of)), []).append(r)
+    words = spark.createDataFrame(rows, "file long, page int, word long, x double, y double, text string")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for n in ("10000", "13", "1"):
+            spark.conf.set(size, n)
+            texts = L.line_texts(words).collect()
+            assert {tuple(r[:3]): r.text for r in texts} == {k: " ".join(r[5] for r in sorted(v, key=lambda r: [low(r[3]), r[2]]) if r[5] is not None) for k, v in want.items()}
+            assert len(texts) == len(want) > 30
+            assert sorted([tuple(r) for r in L.visual_lines(words).collect()], key=str) == sorted([(*r, k[2]) for k, v in want.items() for r in v], key=str)
+            assert L.line_texts(words.limit(0)).count() == L.visual_lines(words.limit(0)).count() == 0
+    finally:
+        spark.conf.set(size, before)
+    assert _plan(P.page_lines(spark, sf_dir)).count("exchange") == 1
