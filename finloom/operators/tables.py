@@ -47,11 +47,15 @@ def cell_type(text: Column) -> Column:
     return F.when(F.trim(text) == "", "empty").when(F.rlike(bare, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), "number").otherwise("text")
 
 
-def grid(html: Column) -> Column:
-    """array<array<string>>: the texts of all cells, one of a span repeated in every column that it covers."""
+def _cells(rows: Column) -> Column:
     span = lambda c: F.greatest(F.coalesce(F.nullif(F.regexp_extract(c, r"""(?i)colspan\s*=\s*["']?(\d+)""", 1), F.lit("")).cast("int"), F.lit(1)), F.lit(1))
     text = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?is)^<t[dh][^>]*>|</t[dh]>$", ""), r"<[^>]+>", ""))
-    return F.transform(rows_of(html), lambda r: F.flatten(F.transform(F.regexp_extract_all(r, F.lit(CELL), 0), lambda c: F.array_repeat(text(c), span(c)))))
+    return F.transform(rows, lambda r: F.flatten(F.transform(F.regexp_extract_all(r, F.lit(CELL), 0), lambda c: F.array_repeat(text(c), span(c)))))
+
+
+def grid(html: Column) -> Column:
+    """array<array<string>>: the texts of all cells, one of a span repeated in every column that it covers."""
+    return _cells(rows_of(html))
 
 
 def _typed(rows: Column) -> Column:
@@ -66,21 +70,37 @@ def _typed(rows: Column) -> Column:
     return bound(F.transform(rows, lambda r: F.transform(r, lambda c: cell_type(c))), said)
 
 
+def _part(cells: Column, rows: int, from_start: bool) -> Column:
+    return F.slice(cells, 1, rows) if from_start else F.slice(cells, F.greatest(F.size(cells) - rows, F.lit(0)) + 1, rows)
+
+
 def column_types(html: Column, rows: int, from_start: bool = True) -> Column:
-    part = lambda cells: F.slice(cells, 1, rows) if from_start else F.slice(cells, F.greatest(F.size(cells) - rows, F.lit(0)) + 1, rows)
-    return bound(grid(html), lambda cells: _typed(part(cells)))
+    return bound(grid(html), lambda cells: _typed(_part(cells, rows, from_start)))
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two lists of column types are as long, with at most MISMATCH of other types, or one is empty."""
+    both = F.zip_with(a, b, lambda x, y: F.struct(((x != "empty") & (y != "empty")).alias("met"), (x != y).alias("differs")))
+    alike = bound(F.filter(both, lambda p: p["met"]), lambda met: F.size(F.filter(met, lambda p: p["differs"])) <= F.size(met) * MISMATCH)
+    return (F.size(a) == 0) | (F.size(b) == 0) | ((F.size(a) == F.size(b)) & alike)
 
 
 def aligned(upper: Column, lower: Column) -> Column:
     """Whether the last rows of one table and the first of the next have alike columns: as many, and at most MISMATCH of other types."""
+    return bound(F.struct(column_types(upper, SAMPLE, False).alias("a"), column_types(lower, SAMPLE).alias("b")), lambda t: _alike(t["a"], t["b"]))
+
+
+def _shape(html: Column) -> Column:
+    """struct(n, headed, head, first, last): rows, the texts of a first row with head cells, and the column types of the first and last rows below it."""
 
-    def compared(t: Column) -> Column:
-        a, b = t["a"], t["b"]
-        both = F.zip_with(a, b, lambda x, y: F.struct(((x != "empty") & (y != "empty")).alias("met"), (x != y).alias("differs")))
-        alike = bound(F.filter(both, lambda p: p["met"]), lambda met: F.size(F.filter(met, lambda p: p["differs"])) <= F.size(met) * MISMATCH)
-        return (F.size(a) == 0) | (F.size(b) == 0) | ((F.size(a) == F.size(b)) & alike)
+    def below(t: Column) -> Column:
+        body = F.when(t["headed"], F.slice(t["cells"], 2, F.greatest(F.size(t["cells"]), F.lit(1)))).otherwise(t["cells"])
+        types = lambda from_start: bound(body, lambda c: _typed(_part(c, SAMPLE, from_start)))
+        head = F.when(t["headed"], F.array_join(F.get(t["cells"], 0), "\n"))
+        return F.struct(F.size(t["cells"]).alias("n"), t["headed"].alias("headed"), head.alias("head"), types(True).alias("first"), types(False).alias("last"))
 
-    return bound(F.struct(column_types(upper, SAMPLE, False).alias("a"), column_types(lower, SAMPLE).alias("b")), compared)
+    headed = lambda rows: F.coalesce(F.rlike(F.get(rows, 0), F.lit("(?i)<th[ >]")), F.lit(False))
+    return bound(F.coalesce(rows_of(html), F.array().cast("array<string>")), lambda rows: bound(F.struct(headed(rows).alias("headed"), _cells(rows).alias("cells")), below))
 
 
 def chained(tables: DataFrame) -> DataFrame:
@@ -90,27 +110,26 @@ def chained(tables: DataFrame) -> DataFrame:
     with the last one of the page before it if both have alike columns below their heads (a
     first row with head cells), and if its head, where it has one, is the last that the
     document showed; such a head is dropped.  Runs of tables that go on become one, whose rows
-    follow in order.  A null or rowless table stands alone.
+    follow in order.  A null or rowless table stands alone.  Tables that come parted by doc_id
+    aren't shuffled; a task sorts those of its part.
     """
-    rows = rows_of(F.col("html"))
-    headed = F.coalesce(F.rlike(F.get("_rows", 0), F.lit("(?i)<th[ >]")), F.lit(False))
-    x = tables.withColumn("_rows", F.coalesce(rows, F.array().cast("array<string>"))).withColumn("_headed", headed)
-    x = x.withColumn("_head", F.when(F.col("_headed"), F.array_join(F.get(grid(F.col("html")), 0), "\n")))
-    x = x.withColumn("_body", F.when(F.col("_headed"), without_first(F.col("html"), 1)).otherwise(F.col("html")))
+    x = tables.select("doc_id", "page", "reading_order", "html", _shape(F.col("html")).alias("_s"))
     order = Window.partitionBy("doc_id").orderBy("page", "reading_order")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    same_head = F.col("_head").isNull() | (F.col("_head") == F.last("_head", ignorenulls=True).over(before))
+    same_head = F.col("_s.head").isNull() | (F.col("_s.head") == F.last("_s.head", ignorenulls=True).over(before))
     near = F.lag("page").over(order) == F.col("page") - 1
-    x = x.withColumn("_near", near & same_head & (F.size("_rows") > 0) & (F.lag(F.size("_rows")).over(order) > 0)).withColumn("_above", F.lag("_body").over(order))
-    goes_on = F.coalesce(F.when(F.col("_near"), aligned(F.col("_above"), F.col("_body"))), F.lit(False))
-    x = x.withColumn("_on", goes_on).withColumn("_chain", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(order))
-    kept = F.when(F.col("_on") & F.col("_headed"), F.slice("_rows", 2, F.size("_rows"))).otherwise(F.col("_rows"))
+    # windows see shapes; the text of a table goes by once
+    x = x.withColumn("_near", near & same_head & (F.col("_s.n") > 0) & (F.lag("_s.n").over(order) > 0)).withColumn("_above", F.lag("_s.last").over(order))
+    x = x.withColumn("_on", F.coalesce(F.when(F.col("_near"), _alike(F.col("_above"), F.col("_s.first"))), F.lit(False)))
+    x = x.withColumn("_chain", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(order))
     by = x.groupBy("doc_id", "_chain").agg(
         F.min("page").alias("page"), F.min_by("reading_order", "page").alias("reading_order"), F.max("page").alias("last_page"), F.count("*").alias("n_tables"),
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("page", "reading_order", kept.alias("r")))), lambda t: t["r"])).alias("_all"), F.min_by("html", F.struct("page", "reading_order")).alias("_first"),
+        F.sort_array(F.collect_list(F.struct("page", "reading_order", "html", (F.col("_on") & F.col("_s.headed")).alias("headless")))).alias("_all"),
     )
-    tag = F.coalesce(F.nullif(F.regexp_extract("_first", r"(?i)(<table[^>]*>)", 1), F.lit("")), F.lit("<table>"))
-    html = F.when(F.col("n_tables") == 1, F.col("_first")).otherwise(F.concat(tag, F.lit("\n"), F.array_join("_all", "\n"), F.lit("\n</table>")))
+    first = F.get("_all", 0)["html"]
+    tag = F.coalesce(F.nullif(F.regexp_extract(first, r"(?i)(<table[^>]*>)", 1), F.lit("")), F.lit("<table>"))
+    rows = F.flatten(F.transform("_all", lambda t: F.slice(rows_of(t["html"]), F.when(t["headless"], 2).otherwise(1), F.length(t["html"]))))
+    html = F.when(F.col("n_tables") == 1, first).otherwise(F.concat(tag, F.lit("\n"), F.array_join(rows, "\n"), F.lit("\n</table>")))
     return by.select("doc_id", "page", "reading_order", "last_page", "n_tables", html.alias("html"))
 
 

@@ -93,7 +93,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber
 
 def table_chains(spark, d):
     """Tables over pages put together; chains break where columns or pages do."""
-    t = spark.sql(CHAINS.replace("FROM lineitem", "FROM {t}"), t=S.table(spark, d, "lineitem"))
+    t = spark.sql(CHAINS.replace("FROM lineitem", "FROM {t}"), t=S.parted(S.table(spark, d, "lineitem"), "l_orderkey"))
     return K.chained(t.select("doc_id", "page", "reading_order", F.concat(F.lit("<table>"), "head", "line", F.lit("</table>")).alias("html")))
 
 

@@ -28,3 +28,16 @@ def K_cells(html):
     import re
 
     return html if html is None or "<" not in html else " ".join(re.findall(r"<t[dh]>(.*?)</t[dh]>", html))
+
+
+def test_parts_follow_the_rows_and_chains_take_them(spark, sf_dir, monkeypatch):
+    from finloom.plans import tables as P
+    from finloom.sources import tables as S
+
+    t = S.table(spark, sf_dir, "lineitem")
+    n, least = t.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert S.parted(t, "l_orderkey").rdd.getNumPartitions() == least
+    assert S.parted(t, "l_orderkey", n // 10).rdd.getNumPartitions() == -(-n // (n // 10)) > least
+    plan = P.table_chains(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in plan
+    assert "_rows" not in plan and "_body" not in plan
