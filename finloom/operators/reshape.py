@@ -3,8 +3,8 @@
 ``docs`` is one row per report: report, json.  The flat version holds the transactions,
 months and counterparties as they were extracted; the sectioned one (it has
 ``report_info``) holds accounts, months and ranked parties.  One schema of both is read
-in one pass, and only the fields that a frame asks for.  Sums of the flat version are
-taken over exploded rows, so that a report of any length is added up in parts.
+in one pass, and only the fields that a frame asks for.  A text is parsed once for both
+versions; a report is one row, so that its own lists are summed and ranked within it.
 
 Money is BIGINT cents.  A null or broken text gives no rows; absent fields are empty or
 0; equal amounts are ranked in the order of the report; other fields are ignored.
@@ -36,14 +36,30 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select("report", F.from_json("json", SCHEMA).alias("d"))
 
 
-def _versions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    read = _read(docs)
-    flat = read.where("d.report_info IS NULL AND coalesce(d.summary IS NOT NULL OR d.transactions IS NOT NULL OR d.monthly_summary IS NOT NULL OR d.counterparty_ledger IS NOT NULL, false)")
-    return flat, read.where("d.report_info IS NOT NULL")
+FLAT = "d.report_info IS NULL AND coalesce(d.summary IS NOT NULL OR d.transactions IS NOT NULL OR d.monthly_summary IS NOT NULL OR d.counterparty_ledger IS NOT NULL, false)"
 
 
-def _items(df: DataFrame, field: str) -> DataFrame:
-    return df.select("report", F.posexplode(f"d.{field}").alias("pos", "x"))
+def _parsed(docs: DataFrame) -> DataFrame:
+    """report, d, flat, told: every text parsed once, and which version it is, if any."""
+    return _read(docs).withColumn("flat", F.expr(FLAT)).withColumn("told", F.col("d.report_info").isNotNull())
+
+
+def _listed(parsed: DataFrame, flat: Column, told: Column) -> DataFrame:
+    """report and the fields of the structs in the array that a text of each version gives."""
+    return parsed.select("report", F.inline(F.when(F.col("flat"), flat).when(F.col("told"), told)))
+
+
+def _struct(**fields: Column) -> Column:
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
+def _both(docs: DataFrame, flat: str, sectioned: str) -> DataFrame:
+    """report, flat (whether it is), pos, t (an item of the flat field) or s (of the sectioned one): both versions in one pass over the texts."""
+    read = _parsed(docs)
+    kind = dict(read.select(F.col(f"d.{flat}").alias("t"), F.col(f"d.{sectioned}").alias("s")).dtypes)
+    of = lambda when, field, c: F.coalesce(F.when(F.col(when), F.col(f"d.{field}")), F.array().cast(kind[c]))
+    read = read.select("report", "flat", of("flat", flat, "t").alias("t"), of("told", sectioned, "s").alias("s"))
+    return read.select("report", "flat", F.posexplode(F.arrays_zip("t", "s")).alias("pos", "x")).select("report", "flat", "pos", F.col("x.t").alias("t"), F.col("x.s").alias("s"))
 
 
 def _company(d: str = "d.summary.company_names") -> Column:
@@ -52,60 +68,51 @@ def _company(d: str = "d.summary.company_names") -> Column:
 
 def accounts(docs: DataFrame) -> DataFrame:
     """report, account, bank, opening, closing, credits, debits, n_rows: by the first and last row that shows a balance."""
-    flat, sectioned = _versions(docs)
-    rows = _items(flat, "transactions").select(
-        "report", "pos", F.col("x.account_no").alias("account"), F.col("x.bank").alias("bank"), cents(F.col("x.credit")).alias("cr"), cents(F.col("x.debit")).alias("dr"),
-        F.when(F.col("x.balance").isNotNull(), cents(F.col("x.balance"))).alias("bal"),
-    )
-    shown = lambda value: F.when(F.col("bal").isNotNull(), value)
-    place = shown(F.col("pos"))
-    made = rows.where("account <> ''").groupBy("report", "account").agg(
+    x, either = F.col, lambda a, b: F.when(F.col("flat"), a).otherwise(b)
+    balance = F.when(x("t.balance").isNotNull(), cents(x("t.balance")))
+    debit, credit = cents(either(x("t.debit"), x("s.total_debits"))), cents(either(x("t.credit"), x("s.total_credits")))
+    # an account that a sectioned report tells is one row of its own
+    rows = _both(docs, "transactions", "accounts").select(
+        "report", "pos", either(None, x("pos")).alias("_told"), either(x("t.account_no"), x("s.account_number")).alias("account"), either(x("t.bank"), x("s.bank_name")).alias("bank"), credit.alias("cr"), debit.alias("dr"),
+        either(balance - credit + debit, cents(x("s.opening_balance"))).alias("open"), either(balance, cents(x("s.closing_balance"))).alias("bal"), either(1, F.coalesce("s.transaction_count", F.lit(0))).cast("long").alias("n"), "flat",
+    ).where("NOT flat OR account <> ''")
+    shown = F.when(F.col("bal").isNotNull(), F.col("pos"))
+    return rows.groupBy("report", "account", "_told").agg(
         F.coalesce(F.min_by("bank", F.when(F.col("bank") != "", F.col("pos"))), F.lit("")).alias("bank"),
-        F.coalesce(F.min_by(F.col("bal") - F.col("cr") + F.col("dr"), place), F.lit(0)).alias("opening"), F.coalesce(F.max_by("bal", place), F.lit(0)).alias("closing"),
-        F.sum("cr").alias("credits"), F.sum("dr").alias("debits"), F.count("*").alias("n_rows"),
-    )
-    x = F.col
-    said = _items(sectioned, "accounts").select(
-        "report", x("x.account_number").alias("account"), F.coalesce("x.bank_name", F.lit("")).alias("bank"), cents(x("x.opening_balance")).alias("opening"), cents(x("x.closing_balance")).alias("closing"),
-        cents(x("x.total_credits")).alias("credits"), cents(x("x.total_debits")).alias("debits"), F.coalesce("x.transaction_count", F.lit(0).cast("long")).alias("n_rows"),
-    )
-    return made.unionByName(said)
+        F.coalesce(F.min_by("open", shown), F.lit(0)).alias("opening"), F.coalesce(F.max_by("bal", shown), F.lit(0)).alias("closing"),
+        F.sum("cr").alias("credits"), F.sum("dr").alias("debits"), F.sum("n").alias("n_rows"),
+    ).drop("_told")
 
 
 def months(docs: DataFrame) -> DataFrame:
     """report, place, month, account, credits, debits, lowest, highest, opening, closing, n_rows; a flat report's rows are those of the month in all accounts."""
-    flat, sectioned = _versions(docs)
-    dated = _items(flat, "transactions").select("report", F.left("x.date", F.lit(7)).alias("month")).where("length(month) = 7").groupBy("report", "month").agg(F.count("*").alias("n_rows"))
-    x = F.col
-    text = lambda c: F.coalesce(c, F.lit(""))
-    made = _items(flat, "monthly_summary").select(
-        "report", x("pos").alias("place"), text(x("x.month")).alias("month"), text(x("x.account_no")).alias("account"), cents(x("x.total_credit")).alias("credits"), cents(x("x.total_debit")).alias("debits"),
-        cents(x("x.lowest_balance")).alias("lowest"), cents(x("x.highest_balance")).alias("highest"), cents(x("x.opening_balance")).alias("opening"), cents(x("x.ending_balance")).alias("closing"),
-    ).join(dated, ["report", "month"], "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("long")))
-    said = _items(sectioned, "monthly_analysis").select(
-        "report", x("pos").alias("place"), text(x("x.month")).alias("month"), text(x("x.account_number")).alias("account"), cents(x("x.net_credits")).alias("credits"), cents(x("x.net_debits")).alias("debits"),
-        cents(x("x.eod_lowest")).alias("lowest"), cents(x("x.eod_highest")).alias("highest"), cents(x("x.opening_balance")).alias("opening"), cents(x("x.closing_balance")).alias("closing"),
-        F.coalesce("x.transaction_count", F.lit(0).cast("long")).alias("n_rows"),
-    )
-    return made.unionByName(said)
+    text, count = lambda c: F.coalesce(c, F.lit("")), lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    dated = lambda m: F.size(F.filter("d.transactions", lambda t: (F.left(t["date"], F.lit(7)) == m) & (F.length(m) == 7)))
+    made = F.transform("d.monthly_summary", lambda x, i: _struct(
+        place=i, month=text(x["month"]), account=text(x["account_no"]), credits=cents(x["total_credit"]), debits=cents(x["total_debit"]), lowest=cents(x["lowest_balance"]),
+        highest=cents(x["highest_balance"]), opening=cents(x["opening_balance"]), closing=cents(x["ending_balance"]), n_rows=F.greatest(count(dated(x["month"])), F.lit(0)),
+    ))
+    said = F.transform("d.monthly_analysis", lambda x, i: _struct(
+        place=i, month=text(x["month"]), account=text(x["account_number"]), credits=cents(x["net_credits"]), debits=cents(x["net_debits"]), lowest=cents(x["eod_lowest"]),
+        highest=cents(x["eod_highest"]), opening=cents(x["opening_balance"]), closing=cents(x["closing_balance"]), n_rows=count(x["transaction_count"]),
+    ))
+    return _listed(_parsed(docs), made, said)
 
 
 def totals(docs: DataFrame) -> DataFrame:
     """report, version, company, period_start, period_end, n_months, credits, debits, yearly_credits, yearly_debits (at twelve months)."""
-    flat, sectioned = _versions(docs)
     dates = F.split("d.summary.date_range", " to ", 2)
-    end = lambda i: F.when(F.contains("d.summary.date_range", F.lit(" to ")), F.trim(F.get(dates, F.lit(i))))
-    sums = _items(flat, "transactions").groupBy("report").agg(F.sum(cents(F.col("x.credit"))).alias("credits"), F.sum(cents(F.col("x.debit"))).alias("debits"))
-    made = flat.select(
-        "report", F.lit("flat").alias("version"), _company().alias("company"), F.coalesce(end(0), F.lit("")).alias("period_start"), F.coalesce(end(1), F.lit("")).alias("period_end"),
-        F.coalesce(F.size("d.monthly_summary"), F.lit(0)).alias("n_months"),
-    ).join(sums, "report", "left")
-    said = sectioned.select(
-        "report", F.lit("sectioned").alias("version"), F.coalesce("d.report_info.company_name", F.lit("Unknown")).alias("company"), F.coalesce("d.report_info.period_start", F.lit("")).alias("period_start"),
-        F.coalesce("d.report_info.period_end", F.lit("")).alias("period_end"), F.coalesce("d.report_info.total_months", F.lit(0)).alias("n_months"),
-        cents(F.col("d.consolidated.gross_credits")).alias("credits"), cents(F.col("d.consolidated.gross_debits")).alias("debits"),
+    end = lambda i: F.coalesce(F.when(F.contains("d.summary.date_range", F.lit(" to ")), F.trim(F.get(dates, F.lit(i)))), F.lit(""))
+    summed = lambda c: F.coalesce(F.aggregate("d.transactions", F.lit(0).cast("long"), lambda a, t: a + cents(t[c])), F.lit(0))
+    info = lambda c, other="": F.coalesce(f"d.report_info.{c}", F.lit(other))
+    made = _struct(
+        version=F.lit("flat"), company=_company(), period_start=end(0), period_end=end(1), n_months=F.greatest(F.coalesce(F.size("d.monthly_summary"), F.lit(0)), F.lit(0)), credits=summed("credit"), debits=summed("debit"),
+    )
+    said = _struct(
+        version=F.lit("sectioned"), company=info("company_name", "Unknown"), period_start=info("period_start"), period_end=info("period_end"), n_months=info("total_months", 0),
+        credits=cents(F.col("d.consolidated.gross_credits")), debits=cents(F.col("d.consolidated.gross_debits")),
     )
-    both = made.withColumn("n_months", F.greatest("n_months", F.lit(0))).fillna(0, ["credits", "debits"]).unionByName(said)
+    both = _listed(_parsed(docs), F.array(made), F.array(said))
     yearly = lambda c: F.when(F.col("n_months") > 0, F.round(F.col(c) * 12 / F.col("n_months")).cast("long")).otherwise(0)
     return both.withColumn("yearly_credits", yearly("credits")).withColumn("yearly_debits", yearly("debits"))
 
@@ -122,37 +129,36 @@ def parties(docs: DataFrame, top: int = TOP_PARTIES) -> DataFrame:
 
     A party is related if a word of four letters or more of the company's name stands in its own.
     """
-    flat, sectioned = _versions(docs)
-    each = flat.select("report", F.filter(F.split(F.upper(_company()), r"\s+"), lambda w: F.length(w) >= 4).alias("own"), F.posexplode("d.counterparty_ledger.counterparties").alias("pos", "x"))
-    name = F.coalesce("x.counterparty_name", F.lit(""))
+    own = F.filter(F.split(F.upper(_company()), r"\s+"), lambda w: F.length(w) >= 4)
+    name, count = lambda c: F.coalesce(c, F.lit("")), lambda c: F.coalesce(c, F.lit(0)).cast("long")
 
-    def side(label: str, money: str, count: str, kind: str) -> DataFrame:
-        rows = each.select(
-            "report", "pos", F.lit(label).alias("side"), name.alias("party"), cents(F.col(f"x.{money}")).alias("amount"), F.coalesce(f"x.{count}", F.lit(0).cast("long")).alias("n_rows"),
-            F.exists("own", lambda w: F.contains(F.upper(name), w)).alias("related"), F.col("x.transactions").alias("t"), F.lit(kind).alias("kind"),
-        )
-        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("report").orderBy(F.col("amount").desc(), "pos"))).where(F.col("rank") <= top)
-        return ranked.select("report", "side", "rank", "party", "amount", "n_rows", "related", _by_month(F.col("t"), kind).alias("by_month"))
+    def made(money: str, counted: str, kind: str) -> Column:
+        by_sum = F.array_sort(F.transform("d.counterparty_ledger.counterparties", lambda x, i: _struct(by=-cents(x[money]), pos=i, x=x)))
+        return F.transform(F.slice(by_sum, 1, top), lambda y, i: _struct(
+            rank=i + 1, party=name(y["x"]["counterparty_name"]), amount=-y["by"], n_rows=count(y["x"][counted]),
+            related=F.exists(own, lambda w: F.contains(F.upper(name(y["x"]["counterparty_name"])), w)), by_month=_by_month(y["x"]["transactions"], kind),
+        ))
 
-    def said(label: str, field: str) -> DataFrame:
-        months_of = F.array_join(F.transform("x.monthly_breakdown", lambda m: F.concat_ws(":", m["month"], cents(m["amount"]))), ";")
-        return _items(sectioned, f"top_parties.{field}").select(
-            "report", F.lit(label).alias("side"), F.coalesce("x.rank", F.col("pos") + 1).alias("rank"), F.coalesce("x.party_name", F.lit("")).alias("party"), cents(F.col("x.total_amount")).alias("amount"),
-            F.coalesce("x.transaction_count", F.lit(0).cast("long")).alias("n_rows"), F.coalesce("x.is_related_party", F.lit(False)).alias("related"), F.coalesce(months_of, F.lit("")).alias("by_month"),
-        )
+    def said(field: str) -> Column:
+        months_of = lambda x: F.array_join(F.transform(x["monthly_breakdown"], lambda m: F.concat_ws(":", m["month"], cents(m["amount"]))), ";")
+        return F.transform(f"d.top_parties.{field}", lambda x, i: _struct(
+            rank=F.coalesce(x["rank"], i + 1), party=name(x["party_name"]), amount=cents(x["total_amount"]), n_rows=count(x["transaction_count"]),
+            related=F.coalesce(x["is_related_party"], F.lit(False)), by_month=name(months_of(x)),
+        ))
 
-    made = side("payer", "total_credits", "credit_count", "CREDIT").unionByName(side("payee", "total_debits", "debit_count", "DEBIT"))
-    return made.unionByName(said("payer", "top_payers")).unionByName(said("payee", "top_payees"))
+    sides = lambda payer, payee: F.array(_struct(side=F.lit("payer"), _p=payer), _struct(side=F.lit("payee"), _p=payee))
+    flat = sides(made("total_credits", "credit_count", "CREDIT"), made("total_debits", "debit_count", "DEBIT"))
+    return _listed(_parsed(docs), flat, sides(said("top_payers"), said("top_payees"))).select("report", "side", F.inline("_p"))
 
 
 def large_credits(docs: DataFrame, top: int = TOP_CREDITS) -> DataFrame:
     """report, place (from 1), date, description, amount, balance, account: the ``top`` credits of a report."""
-    flat, sectioned = _versions(docs)
-    x = F.col
-    rows = _items(flat, "transactions").select("report", "pos", "x.date", "x.description", cents(x("x.credit")).alias("amount"), cents(x("x.balance")).alias("balance"), x("x.account_no").alias("account")).where("amount > 0")
-    made = rows.withColumn("place", F.row_number().over(Window.partitionBy("report").orderBy(x("amount").desc(), "pos"))).where(x("place") <= top).drop("pos")
-    said = _items(sectioned, "large_credits").select("report", (x("pos") + 1).alias("place"), "x.date", "x.description", cents(x("x.amount")).alias("amount"), cents(x("x.balance")).alias("balance"), x("x.account_number").alias("account"))
-    return made.unionByName(said)
+    x, either = F.col, lambda c: F.when(F.col("flat"), F.col(f"t.{c}")).otherwise(F.col(f"s.{c}"))
+    amount, account = (F.when(x("flat"), x(f"t.{a}")).otherwise(x(f"s.{b}")) for a, b in (("credit", "amount"), ("account_no", "account_number")))
+    rows = _both(docs, "transactions", "large_credits").select("report", "flat", "pos", either("date").alias("date"), either("description").alias("description"), cents(amount).alias("amount"), cents(either("balance")).alias("balance"), account.alias("account"))
+    ranked = F.row_number().over(Window.partitionBy("report", "flat").orderBy(x("amount").desc(), "pos"))
+    placed = rows.where("NOT flat OR amount > 0").withColumn("place", F.when(x("flat"), ranked).otherwise(x("pos") + 1)).where(f"NOT flat OR place <= {int(top)}")
+    return placed.select("report", "place", "date", "description", "amount", "balance", "account")
 
 
 # Names under which a remark keeps its kind and its text, and kinds that are good.

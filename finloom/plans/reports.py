@@ -6,9 +6,10 @@ sections, so that the flat ones are summed by the operator and the others only r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finloom.functions.binding import bound
 from finloom.operators import reshape as R
 from finloom.sources import tables as S
 
@@ -30,50 +31,81 @@ LARGE = """SELECT * FROM (SELECT report, CAST(row_number() OVER (PARTITION BY re
   FROM {r} WHERE credit > 0) t WHERE place <= 30"""
 
 
-def _listed(rows: DataFrame, name: str, order: list, **fields) -> DataFrame:
-    item = F.struct(*order, F.struct(*[(F.expr(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()]).alias("x"))
-    return rows.groupBy("report").agg(F.transform(F.sort_array(F.collect_list(item)), lambda i: i["x"]).alias(name))
+def _of(rows: Column, key: str, body) -> Column:
+    """One item a value of ``key``, in its order: ``body`` of the value and of its rows, in theirs."""
+    values = F.array_sort(F.array_distinct(F.transform(rows, lambda t: t[key])))
+    return F.transform(values, lambda v: bound(F.struct(v.alias("v"), F.filter(rows, lambda t: t[key] == v).alias("t")), lambda g: body(g["v"], g["t"])))
 
 
-def _joined(reports: DataFrame, *parts: DataFrame) -> DataFrame:
-    for p in parts:
-        reports = reports.join(p, "report", "left")
-    return reports
+def _sum(rows: Column, c: str) -> Column:
+    return F.aggregate(rows, F.lit(0).cast("long"), lambda a, t: a + t[c])
 
 
-def reports(spark: SparkSession, d: str) -> DataFrame:
-    """report, json."""
-    rows = spark.sql(ROWS.replace("FROM orders", "FROM {t}"), t=S.table(spark, d, "orders"))
-    over = lambda text, r: spark.sql(text, r=r)
-    even, odd = rows.where("report % 2 = 0"), rows.where("report % 2 = 1")
-    money = lambda c: f"{c} / 100"
-    sums = even.groupBy("report", "party").agg(
-        F.sum("credit").alias("c"), F.sum("debit").alias("b"), F.count_if(F.expr("credit > 0")).alias("cn"), F.count_if(F.expr("debit > 0")).alias("bn"),
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "date", "credit", "debit"))), lambda t: F.struct(F.when(t["credit"] > 0, "CREDIT").otherwise("debit").alias("type"), t["date"].alias("date"), ((t["credit"] + t["debit"]) / 100).alias("amount"))).alias("t"),
+def _struct(**fields: Column) -> Column:
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
+def _months(rows: Column, **names: str) -> Column:
+    """The months of the rows with sums and extremes, under the names that a version gives them."""
+    shown = lambda t: F.transform(t, lambda r: r["balance"])
+    told = lambda m, t: {
+        "month": m, "credits": _sum(t, "credit") / 100, "debits": _sum(t, "debit") / 100, "lowest": F.coalesce(F.array_min(shown(t)), F.lit(0)) / 100,
+        "highest": F.coalesce(F.array_max(shown(t)), F.lit(0)) / 100, "closing": F.expr("0.07"), "n_rows": F.size(t),
+    }
+    return _of(rows, "month", lambda m, t: _struct(**{names[k]: v for k, v in told(m, t).items() if k in names}))
+
+
+def _top(rows: Column, c: str) -> Column:
+    """The ten parties of a side by their sums, with those of their months."""
+    paid = lambda t: F.filter(t, lambda r: r[c] > 0)
+    by_month = lambda t: F.when(F.size(t) > 0, _of(t, "month", lambda m, s: _struct(month=m, amount=_sum(s, c) / 100)))
+    parties = F.slice(F.array_sort(_of(rows, "party", lambda p, t: _struct(by=-_sum(t, c), party=p, paid=paid(t)))), 1, 10)
+    related = lambda p: F.contains(p, F.lit("BINTANG")) | F.contains(p, F.lit("JAYA"))
+    return F.transform(parties, lambda x, i: _struct(rank=i + 1, party_name=x["party"], total_amount=-x["by"] / 100, transaction_count=F.size(x["paid"]), is_related_party=related(x["party"]), monthly_breakdown=by_month(x["paid"])))
+
+
+def _flat(r: Column, dates: Column) -> Column:
+    rows = lambda t: F.transform(t, lambda x: _struct(type=F.when(x["credit"] > 0, "CREDIT").otherwise("debit"), date=x["date"], amount=(x["credit"] + x["debit"]) / 100))
+    count = lambda t, c: F.size(F.filter(t, lambda x: x[c] > 0))
+    return _struct(
+        summary=_struct(company_names=F.array(F.lit(S.COMPANY)), date_range=F.concat(F.array_min(dates), F.lit(" to "), F.array_max(dates))),
+        transactions=F.transform(r, lambda t: _struct(account_no=t["account"], bank=t["bank"], date=t["date"], description=t["description"], credit=t["credit"] / 100, debit=t["debit"] / 100, balance=t["balance"] / 100)),
+        monthly_summary=_months(r, month="month", credits="total_credit", debits="total_debit", lowest="lowest_balance", highest="highest_balance", closing="ending_balance"),
+        counterparty_ledger=_struct(counterparties=_of(r, "party", lambda p, t: _struct(
+            counterparty_name=p, total_credits=_sum(t, "credit") / 100, total_debits=_sum(t, "debit") / 100, credit_count=count(t, "credit"), debit_count=count(t, "debit"), transactions=rows(t),
+        ))),
     )
-    span = even.groupBy("report").agg(F.struct(F.array(F.lit(S.COMPANY)).alias("company_names"), F.concat(F.min("date"), F.lit(" to "), F.max("date")).alias("date_range")).alias("summary"))
-    flat = _joined(
-        span,
-        _listed(even, "transactions", ["pos"], account_no="account", bank="bank", date="date", description="description", credit=money("credit"), debit=money("debit"), balance=money("balance")),
-        _listed(over(MONTHS, even), "monthly_summary", ["place"], month="month", total_credit=money("credits"), total_debit=money("debits"), lowest_balance=money("lowest"), highest_balance=money("highest"), ending_balance="0.07"),
-        _listed(sums, "counterparties", ["party"], counterparty_name="party", total_credits=money("c"), total_debits=money("b"), credit_count="cn", debit_count="bn", transactions="t"),
-    ).withColumn("counterparty_ledger", F.struct("counterparties")).drop("counterparties")
-    by_month = over(BY_SIDE_AND_MONTH, odd).groupBy("report", "side", "party").agg(F.transform(F.sort_array(F.collect_list(F.struct("month", "m"))), lambda x: F.struct(x["month"].alias("month"), (x["m"] / 100).alias("amount"))).alias("bd"))
-    ranked = over(RANKED, odd).join(by_month, ["report", "side", "party"], "left")
-    top = lambda side, name: _listed(ranked.where(F.col("side") == side), name, ["rank"], rank="rank", party_name="party", total_amount=money("amount"), transaction_count="n_rows", is_related_party="related", monthly_breakdown="bd")
-    told = odd.groupBy("report").agg(
-        F.struct(F.lit(S.COMPANY).alias("company_name"), F.min("date").alias("period_start"), F.max("date").alias("period_end"), F.count_distinct("month").alias("total_months")).alias("report_info"),
-        F.struct((F.sum("credit") / 100).alias("gross_credits"), (F.sum("debit") / 100).alias("gross_debits")).alias("consolidated"),
-        F.struct(F.array(F.max("date")).alias("positive"), F.array(F.min("date"), F.lit("low")).alias("concerns")).alias("observations"),
+
+
+def _sectioned(r: Column, dates: Column) -> Column:
+    def account(name: Column, t: Column) -> Column:
+        shown = F.filter(t, lambda x: x["balance"].isNotNull())
+        first, last = F.get(shown, 0), F.try_element_at(shown, F.lit(-1))
+        return _struct(
+            account_number=name, bank_name=F.coalesce(F.get(F.filter(t, lambda x: x["bank"] != ""), 0)["bank"], F.lit("")), opening_balance=F.coalesce(first["balance"] - first["credit"] + first["debit"], F.lit(0)) / 100,
+            closing_balance=F.coalesce(last["balance"], F.lit(0)) / 100, total_credits=_sum(t, "credit") / 100, total_debits=_sum(t, "debit") / 100, transaction_count=F.size(t),
+        )
+
+    credits = F.array_sort(F.transform(F.filter(r, lambda t: t["credit"] > 0), lambda t: _struct(by=-t["credit"], pos=t["pos"], t=t)))
+    low, high = F.array_min(dates), F.array_max(dates)
+    return _struct(
+        report_info=_struct(company_name=F.lit(S.COMPANY), period_start=low, period_end=high, total_months=F.size(F.array_distinct(F.transform(r, lambda t: t["month"])))),
+        consolidated=_struct(gross_credits=_sum(r, "credit") / 100, gross_debits=_sum(r, "debit") / 100),
+        observations=_struct(positive=F.array(high), concerns=F.array(low, F.lit("low"))),
+        accounts=_of(r, "account", account),
+        monthly_analysis=_months(r, month="month", credits="net_credits", debits="net_debits", lowest="eod_lowest", highest="eod_highest", closing="closing_balance", n_rows="transaction_count"),
+        large_credits=F.transform(F.slice(credits, 1, 30), lambda x: _struct(date=x["t"]["date"], description=x["t"]["description"], amount=x["t"]["credit"] / 100, balance=F.coalesce(x["t"]["balance"], F.lit(0)) / 100, account_number=x["t"]["account"])),
+        top_parties=_struct(top_payers=_top(r, "credit"), top_payees=_top(r, "debit")),
     )
-    sectioned = _joined(
-        told, top("payer", "top_payers"), top("payee", "top_payees"),
-        _listed(over(ACCOUNTS, odd), "accounts", ["account"], account_number="account", bank_name="bank", opening_balance=money("opening"), closing_balance=money("closing"), total_credits=money("credits"), total_debits=money("debits"), transaction_count="n_rows"),
-        _listed(over(MONTHS, odd), "monthly_analysis", ["place"], month="month", net_credits=money("credits"), net_debits=money("debits"), eod_lowest=money("lowest"), eod_highest=money("highest"), closing_balance="0.07", transaction_count="n_rows"),
-        _listed(over(LARGE, odd), "large_credits", ["place"], date="date", description="description", amount=money("amount"), balance=money("balance"), account_number="account"),
-    ).withColumn("top_parties", F.struct("top_payers", "top_payees")).drop("top_payers", "top_payees")
-    printed = lambda df: df.select("report", F.to_json(F.struct(*[c for c in df.columns if c != "report"])).alias("json"))
-    return printed(flat).unionByName(printed(sectioned))
+
+
+def reports(spark: SparkSession, d: str) -> DataFrame:
+    """report, json: the rows of a report meet once, and its parts are made of them."""
+    rows = spark.sql(ROWS.replace("FROM orders", "FROM {t}"), t=S.table(spark, d, "orders"))
+    each = rows.groupBy("report").agg(F.sort_array(F.collect_list(F.struct("pos", "account", "bank", "date", "month", "description", "party", "credit", "debit", "balance"))).alias("r"))
+    each = each.withColumn("dates", F.transform("r", lambda t: t["date"]))
+    printed = lambda form: F.to_json(form(F.col("r"), F.col("dates")))
+    return each.select("report", F.when(F.col("report") % 2 == 0, printed(_flat)).otherwise(printed(_sectioned)).alias("json"))
 
 
 QUERIES = {f"report_{f.__name__}": (lambda spark, d, f=f: f(reports(spark, d))) for f in (R.accounts, R.months, R.totals, R.parties, R.large_credits, R.observations)}

@@ -61,3 +61,14 @@ def test_figures_by_period_and_truths(spark):
     assert {(r.file, r.figure): r.status for r in R.audited(R.truths(docs), parsed).collect()} == {
         ("a.pdf", "credits"): "MATCH", ("a.pdf", "debits"): "NO_TRUTH", ("a.pdf", "opening"): "NO_TRUTH", ("a.pdf", "closing"): "DIFFERS", ("b.pdf", "debits"): "NOT_PARSED", ("c.pdf", "credits"): "NO_TRUTH",
     }
+
+
+def test_reports_are_printed_by_one_exchange_and_read_in_one_pass(spark, sf_dir):
+    from finloom.plans import reports as P
+
+    for name, query in P.QUERIES.items():
+        plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        scans = {"report_audit": 2, "report_observations": 3}.get(name, 1)
+        assert plan.count("Scan parquet") == scans and plan.count("from_json") >= 1, name
+        if scans == 1:
+            assert plan.count("Exchange ") == 1 and "Join" not in plan, name
