@@ -106,3 +106,20 @@ def test_python_queries_run_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code, repo], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert out.stdout.count("True") == 3, out.stderr[-2000:]
+
+
+def test_narratives_are_summed_before_the_ladder(spark, sf_dir):
+    from finloom.operators import classify as C
+    from finloom.operators import monthly as M
+    from finloom.plans import classification as P
+
+    texts = [("SALARY JAN", "X"), ("KWSP CARUMAN", None), (None, "OMEGA HOLDINGS"), ("OPENING BALANCE", "X"), ("MISC", "ALI SDN BHD")]
+    amounts = [(5, 0), (0, 7), (3, 3), (0, 0), (-4, 9), (None, 2)]
+    rows = [(a, m, *t, *x) for a in (1, None) for m in ("2024-01", "2024-02") for t in texts for x in amounts for _ in range(2)]
+    tx = spark.createDataFrame(rows, "account long, month string, description string, counterparty string, credit long, debit long")
+    plain, summed = (M.category_pivot(C.classified(x, factors=("OMEGA HOLDINGS",)), True) for x in (tx, C.narrative_sums(tx)))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, summed.collect())) and plain.count() == 4
+    for name in ("coverage_semi_anti", "category_pivot"):
+        plan = P.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        ladder = [i for i, x in enumerate(plan) if "Generate inline" in x]
+        assert ladder and all(any("Aggregate" in x and "description" in x for x in plan[i : i + 5]) for i in ladder)
