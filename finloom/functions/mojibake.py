@@ -23,8 +23,9 @@ SHOWN = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ
 BYTES = "".join(map(chr, (0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F)))
 _MORE = f"[\u0080-¿{SHOWN}]"
 _QUOTES = "‚„…‹‘’“”–—›"
+#: Every form begins with one of these, which is looked at before the kinds of forms are tried.
 FORM = (
-    f"(?:[ÂÃ]{_MORE}|[à-ï]{_MORE}{{2}}|[ð-ô]{_MORE}{{3}}|(?<![A-ZÀ-Þ])[Ä-ß](?![{_QUOTES}]){_MORE}"
+    f"(?=[Â-ô])(?:[ÂÃ]{_MORE}|[à-ï]{_MORE}{{2}}|[ð-ô]{_MORE}{{3}}|(?<![A-ZÀ-Þ])[Ä-ß](?![{_QUOTES}]){_MORE}"
     f"|[Ä-ß]{_MORE}(?=[Â-ô]{_MORE})|(?<=[Â-ô]{_MORE})[Ä-ß]{_MORE})"
 )
 ROUNDS = 4
@@ -34,18 +35,18 @@ def _read_again(form: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(F.encode(F.translate(form, SHOWN, BYTES), "ISO-8859-1").cast("string")), form)
 
 
-def _round(text: Column) -> Column:
-    def body(t: Column) -> Column:
-        found, between = F.regexp_extract_all(t, F.lit(FORM), F.lit(0)), F.split(t, FORM, -1)
-        pieces = F.zip_with(between, F.transform(found, _read_again), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-        fewer = lambda new: F.when(F.regexp_count(new, F.lit(FORM)) < F.regexp_count(t, F.lit(FORM)), new).otherwise(t)
-        return bound(F.array_join(pieces, ""), fewer)
+def repaired(text: Column, rounds: int = ROUNDS) -> Column:
+    """The text as it was written: a round that finds nothing, or leaves no fewer forms, is the last."""
 
-    return F.when(F.rlike(text, F.lit(FORM)), bound(text, body)).otherwise(text)
+    def one(t: Column, left: int) -> Column:
+        if not left:
+            return t
 
+        def body(found: Column) -> Column:
+            pieces = F.zip_with(F.split(t, FORM, -1), F.transform(found, _read_again), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+            fewer = lambda new: F.when(F.regexp_count(new, F.lit(FORM)) < F.size(found), one(new, left - 1)).otherwise(t)
+            return F.when(F.size(found) > 0, bound(F.array_join(pieces, ""), fewer)).otherwise(t)
 
-def repaired(text: Column, rounds: int = ROUNDS) -> Column:
-    """The text as it was written."""
-    for _ in range(rounds):
-        text = bound(text, _round)
-    return text
+        return bound(F.regexp_extract_all(t, F.lit(FORM), F.lit(0)), body)
+
+    return bound(text, lambda t: one(t, rounds))

@@ -66,3 +66,10 @@ def test_garbled_texts_come_back_and_others_stay(spark):
     assert got[: len(plain)] == plain[:13] + ["ЖУК", got[14]]
     assert [(b, g) for b, g in zip(bad, got[len(plain) :], strict=True) if b[2] != g] == []
     assert not re.search(M.FORM, "plain text")
+
+
+def test_a_round_reads_a_text_three_times_and_the_last_once(spark):
+    plan = spark.range(1).select(M.repaired(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rlike" not in plan and plan.count("regexp_count(") == M.ROUNDS
+    # a lead is one of those that are looked at first
+    assert all(re.match("[Â-ô]", _garbled(chr(c), "cp1252")) for c in [*range(0x80, 0x800), 0x20AC, 0xFFFD, 0x1F600, 0x10FFFF])
